@@ -157,13 +157,11 @@ def predict_batch(model: Model, column) -> tuple[list[str], np.ndarray]:
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    def count(mask):
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[offsets[1:]] - total[offsets[:-1]]
-
-    found = count((LOWER[data] >= 97) & (LOWER[data] <= 122)) > 0
-    for i in np.flatnonzero(~found & (count(data >= 128) > 0)):
-        found[i] = any(c.isalpha() for c in bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "ignore"))
+    wide = data >= 128
+    letter = (LOWER[data] >= 97) & (LOWER[data] <= 122)
+    found = np.zeros(len(offsets) - 1, bool)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        found[i] = letter[a:b].any() or (wide[a:b].any() and any(c.isalpha() for c in bytes(data[a:b]).decode("utf-8", "ignore")))
     return found
 
 

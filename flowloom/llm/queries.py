@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, toxicity
 from .common import crc_mod, table
 
 
@@ -16,5 +16,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), f"{at}.lang_pred", f"{at}.score")
 
 
-QUERIES = {"op9_language_id": op9_language_id}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    out, at = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
