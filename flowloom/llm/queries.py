@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, quality, toxicity
 from .common import crc_mod, table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    out, at = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", f"{at}.p_text", f"{at}.p_page", f"{at}.score", (F.col(f"{at}.score") >= quality.THRESHOLD).alias("kept"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -24,5 +30,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {"op4_quality": op4_quality, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import fresh, sample_bounded
 from .textbytes import LOWER, NOT_SPACE, column_bytes
 
-LEVEL = 3
-WINDOW = 192
+LEVEL = 9
+WINDOW = 64
 THRESHOLD = 0.7
 FEATURES = 6
 
@@ -172,7 +172,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w
 
 
-def fit_texts(toxic: list[bytes], ordinary: list[bytes], dictionary: int = 32 << 10, false_share: float = 0.01) -> Model:
+def fit_texts(toxic: list[bytes], ordinary: list[bytes], dictionary: int = 32 << 10, false_share: float = 0.015) -> Model:
     flat = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
     if not toxic or not ordinary:
         return Model(b"", b"", 0.0, *flat, constant=1.0 if toxic else 0.0)
