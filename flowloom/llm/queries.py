@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, licenses, quality, sharding, toxicity
 from .common import crc_mod, table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, at = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col(at)
+    return out.select("doc_id", F.array_join(found["licenses"], ",").alias("licenses"), F.array_join(found["sentences"], ",").alias("sentences"), F.size(found["sentences"]).alias("n_sentences"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_bytes(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     out, at = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -30,5 +41,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_quality": op4_quality, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_quality, op5_sharding, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
