@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, sharding, toxicity
+from . import decontam, langid, licenses, quality, sharding, toxicity
 from .common import crc_mod, table
 
 
@@ -26,6 +26,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{at}.p_text", f"{at}.p_page", f"{at}.score", (F.col(f"{at}.score") >= quality.THRESHOLD).alias("kept"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontam.contaminated().alias("contaminated"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -41,5 +46,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_quality, op5_sharding, op9_language_id, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_quality, op5_sharding, op8_decontamination, op9_language_id, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontam.ORACLE_SQL}
