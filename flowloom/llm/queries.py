@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, quality, sharding, toxicity
+from . import decontam, langid, licenses, lm, quality, sharding, toxicity
 from .common import crc_mod, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    out = lm.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, at = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.col(at)
@@ -46,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_quality, op5_sharding, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_quality, op5_sharding, op8_decontamination, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontam.ORACLE_SQL}
