@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lm, minhash, quality, sharding, toxicity
+from . import decontam, langid, licenses, lm, minhash, quality, sharding, toxicity, vectors
 from .common import crc_mod, table
 
 
@@ -32,6 +32,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{at}.p_text", f"{at}.p_page", f"{at}.score", (F.col(f"{at}.score") >= quality.THRESHOLD).alias("kept"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_quality, op5_sharding, op7_minhash, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_quality, op5_sharding, op6_embedding_dedup, op7_minhash, op8_decontamination, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontam.ORACLE_SQL}
