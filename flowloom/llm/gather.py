@@ -9,7 +9,7 @@ block finds its keys again from its texts and so has the total of every key in t
     texts --by block--> distinct keys --by bucket--> totals --by block--> texts with totals
 
 A frequent key costs one entry for each block, whatever its share of the corpus. Buckets are even,
-as keys are hashes. A key is as wide as it must be for at most one in a million to share its value
+as keys are hashes. A key is as wide as it must be for at most one in 65,536 to share its value
 with another key, given the size of the corpus.
 """
 
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20
 SENT = "bucket int, block int, kind int, keys binary, counts binary"
 ANSWER = "block int, kind int, bucket int, totals binary"
@@ -38,7 +38,7 @@ class Layout:
         self.blocks = max(1, -(-size // BLOCK_BYTES))
         expected = max(1, size * kinds // 5)
         self.bucket_bits = max(0, math.ceil(math.log2(expected / BUCKET_KEYS)))
-        self.width = min(8, max(4, math.ceil((math.log2(expected) + 20) / 8)))
+        self.width = min(8, max(4, math.ceil((math.log2(expected) + 16) / 8)))
 
     @classmethod
     def of(cls, docs: DataFrame, text: str, kinds: int) -> Layout:
@@ -74,8 +74,12 @@ def unpack_counts(raw: bytes) -> np.ndarray:
 
 
 def blocked(docs: DataFrame, layout: Layout, *by: Column) -> DataFrame:
-    """docs with their block; both users of the result share one exchange."""
-    return docs.withColumn("block", layout.block(*by))
+    """docs dealt by their block. The exchange is spelt out, so that all users of the result share it."""
+    return by_block(docs.withColumn("block", layout.block(*by)), layout)
+
+
+def by_block(rows: DataFrame, layout: Layout) -> DataFrame:
+    return rows.repartition(min(layout.blocks, 8192), "block")
 
 
 def sent(texts: DataFrame, layout: Layout, distinct: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
@@ -96,10 +100,10 @@ def sent(texts: DataFrame, layout: Layout, distinct: Callable[[pa.Table], list[t
     return texts.groupBy("block").applyInArrow(send, SENT)
 
 
-def _sum_bucket(table: pa.Table, width: int):
+def _sum_bucket(table: pa.Table, width: int, only: int | None = None):
     """(kind, rows, their keys' edges, inverse, totals) for each kind in a bucket."""
     kinds = table.column("kind").to_numpy()
-    for kind in np.unique(kinds):
+    for kind in np.unique(kinds) if only is None else [only][: int((kinds == only).any())]:
         at = np.flatnonzero(kinds == kind)
         keys = [unpack(table.column("keys")[int(i)].as_py(), width) for i in at]
         counts = np.concatenate([unpack_counts(table.column("counts")[int(i)].as_py()) for i in at])
@@ -123,7 +127,7 @@ def answers(sent_rows: DataFrame, layout: Layout) -> DataFrame:
         n = len(out["kind"])
         return pa.table({"block": pa.array(out["block"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "totals": pa.array(out["totals"], pa.binary())})
 
-    return sent_rows.groupBy("bucket").applyInArrow(answer, ANSWER)
+    return by_block(sent_rows.groupBy("bucket").applyInArrow(answer, ANSWER), layout)
 
 
 def summary(sent_rows: DataFrame, layout: Layout, kind: int) -> DataFrame:
@@ -132,12 +136,11 @@ def summary(sent_rows: DataFrame, layout: Layout, kind: int) -> DataFrame:
 
     def part(table: pa.Table) -> pa.Table:
         row = [0, 0, 0, 0]
-        for k, _, _, _, totals in _sum_bucket(table, width):
-            if k == kind:
-                row = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+        for _, _, _, _, totals in _sum_bucket(table, width, kind):
+            row = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
         return pa.table({n: pa.array([v], pa.int64()) for n, v in zip(("total", "distinct", "once", "twice"), row, strict=True)})
 
-    parts = sent_rows.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(part, "total long, distinct long, once long, twice long")
+    parts = sent_rows.groupBy("bucket").applyInArrow(part, "total long, distinct long, once long, twice long")
     return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once", "twice")))
 
 

@@ -168,22 +168,33 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         at = np.flatnonzero(h)
         return pa.table({"at": pa.array(at, pa.int32()), "n": pa.array(h[at], pa.int64())})
 
-    by_block = lambda right: texts.groupBy("block").cogroup(right.groupBy("block"))
-    ratios = by_block(replies).applyInArrow(count_ratios, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    def join(right: DataFrame):
+        return texts.groupBy("block").cogroup(right.groupBy("block"))
+
+    ratios = join(replies).applyInArrow(count_ratios, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    histogram = ratios.agg(F.collect_list(F.struct("at", "n")).alias("ratios"))  # at most BINS * RATIOS entries
+
+    @F.arrow_udf("array<double>")
+    def fitted(column: pa.Array) -> pa.Array:
+        out = []
+        for entries in column.to_pylist():
+            h = np.zeros(BINS * RATIOS)
+            for x in entries or []:
+                h[x["at"]] = x["n"]
+            out.append(backoff_weights(h))
+        return pa.array(out, pa.list_(pa.float64()))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left, layout)
         counts = Counts(block, right, train_texts)
         total, distinct, d = known(right)
-        h = np.zeros(BINS * RATIOS)
-        for x in right.column("ratios")[0].as_py() or []:
-            h[x["at"]] = x["n"]
+        backoff = np.array(right.column("backoff")[0].as_py())
         n = len(block.train)
         base = np.log10((counts.at_word + 1) / (total + distinct + 1))
         return pa.table({
             "doc_id": left.column("doc_id"), "n_tokens": pa.array(np.bincount(block.text, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(block.text, counts.at_word > 0, n).astype(np.int64), pa.int64()),
-            "train_tokens": pa.array(np.full(n, total), pa.int64()), "base_score": pa.array(np.bincount(block.text, base, n)), "score": pa.array(traverse(block, counts, total, distinct, d, backoff_weights(h))),
+            "train_tokens": pa.array(np.full(n, total), pa.int64()), "base_score": pa.array(np.bincount(block.text, base, n)), "score": pa.array(traverse(block, counts, total, distinct, d, backoff)),
         })
 
-    histogram = ratios.agg(F.collect_list(F.struct("at", "n")).alias("ratios"))  # at most BINS * RATIOS entries
-    return by_block(replies.withColumn("ratios", histogram.scalar())).applyInArrow(score, OUT)
+    backoff = histogram.select(fitted("ratios").alias("backoff"))
+    return join(replies.withColumn("backoff", backoff.scalar())).applyInArrow(score, OUT)
