@@ -1,12 +1,63 @@
-"""Corpus cleaning in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus cleaning in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+1. Language identification: documents go whose text has no letter or less than `LEAST_LANGUAGE` of
+   whose 4-grams the best language knows.
+2. Quality: documents go that the co-trained classifier holds unlikely to be good.
+3. Near duplicates: one document of each class stays, the one with the least id; of rows that repeat
+   this id, one.
+4. Decontamination: documents go that hold benchmark passages to 1 in 20 of their words.
+5. SentencePiece: what is left is encoded; one row for each document, with its ids.
+
+Language and quality models are learnt from the documents that reach the stage. Every stage but the
+last returns the columns that it got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowloom.llm import decontam, langid, minhash, pieces, quality
 from flowloom.llm.common import table
+from flowloom.llm.queries import PIECE_MODEL
+
+LEAST_LANGUAGE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out, at = langid.identify(docs, docs)
+    return out.where(langid.accepted(F.col(at), LEAST_LANGUAGE)).drop(at)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out, at = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.where(F.col(at)["score"] >= quality.THRESHOLD).drop(at)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.representatives(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out, at = pieces.encode(docs, PIECE_MODEL)
+    back = pieces.decoder(spark, PIECE_MODEL)(F.col(at))
+    same = back == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", "lang", "source", F.size(at).cast("long").alias("n_tokens"), F.col(at).alias("ids"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece", tokens),
+]
 
-STAGES: list = []
+#: SQL cannot express the trained and sampling stages
 ORACLE_SQL = None
 
 

@@ -265,3 +265,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     class_of = whole.select("node", "root").join(names, "root").select("node", "component_id")
     out = thin.join(class_of, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each class that names it, all columns kept; of rows that repeat its id, the one with the least hash of the text. Rows without id stay."""
+    found = durable(classes(docs, key, text).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct())
+    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    named = docs.join(small, docs[key] == small["_keep_id"], "left_semi")
+    again = durable(named.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.xxhash64(text)).alias("_first")).where("_n > 1").select(F.col(key).alias("_again"), "_first"))
+    if not again.limit(1).count():
+        return named.unionByName(docs.where(F.col(key).isNull()))
+    single = named.join(again, named[key] == again["_again"], "left_anti")
+    repeated = named.join(again, (named[key] == again["_again"]) & F.xxhash64(named[text]).eqNullSafe(again["_first"]), "left_semi").dropDuplicates([key])
+    return single.unionByName(repeated).unionByName(docs.where(F.col(key).isNull()))

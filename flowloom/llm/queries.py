@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lm, minhash, quality, sharding, toxicity, vectors
+from . import decontam, langid, licenses, lm, minhash, pieces, quality, sharding, toxicity, vectors
 from .common import crc_mod, table
 
+#: the vocabulary that the registered queries use
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 7) == 2
@@ -26,6 +29,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, number and hash of the ids, and whether they decode to the text (in which U+2581 reads as a space)."""
+    out, at = pieces.encode(docs, PIECE_MODEL)
+    back = pieces.decoder(docs.sparkSession, PIECE_MODEL)(F.col(at))
+    same = back == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", F.size(at).cast("long").alias("n_tokens"), F.xxhash64(at).alias("ids_hash"), same.alias("round_trip"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     out, at = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,5 +75,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(at).alias("score"), (F.col(at) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_quality, op5_sharding, op6_embedding_dedup, op7_minhash, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_sentencepiece, op4_quality, op5_sharding, op6_embedding_dedup, op7_minhash, op8_decontamination, op9_language_id, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontam.ORACLE_SQL}
