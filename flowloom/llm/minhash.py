@@ -41,7 +41,7 @@ WORDS = 5
 LEAST = 0.8
 IDF = 0.25
 BANDS, ROWS = 8, 3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BROADCAST_ROWS = 500_000
 STEPS = 250
 _TABLE = 1 << 12
