@@ -26,6 +26,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Python get rows in batches of few bytes. A limit of rows alone would let long texts make batches of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, most)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name made from `name` that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

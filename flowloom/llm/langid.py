@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 from .textbytes import LOWER, column_bytes
 
 HASHES = 4
@@ -100,6 +100,7 @@ def _count(batches):
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 1e-5, share: float = 0.2) -> Model:
     """Learn from all rows of `train` that have both text and language."""
+    small_batches(train.sparkSession)
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
@@ -167,6 +168,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predictor(spark, model: Model):
     """A function from a text column to a struct of lang_pred and score."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 # Identifiers and normalised wording of well-known licence sentences.
 SENTENCES = {
@@ -149,6 +149,7 @@ def scan_column(column: pa.Array) -> pa.Array:
 
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, a struct of sentences, licenses and unknown; and that column's name."""
+    small_batches(docs.sparkSession)
     name = fresh(docs, "licence")
     recognise = F.arrow_udf(scan_column, "struct<sentences:array<string>,licenses:array<string>,unknown:int>")
     return docs.withColumn(name, recognise(F.col(text))), name

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 from .components import components
 from .gather import Layout, answers, blocked, sent, totals_of
 from .textbytes import WORDLIKE, column_bytes, mix, word_ngrams, words
@@ -213,6 +213,7 @@ def _links(buckets: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, component_id, kept."""
+    small_batches(docs.sparkSession)
     ids = F.col(key).alias("doc_id")
     base = docs.select(ids, F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2"))
     once = base.where("text is not null").select("text", "t1", "t2").mapInArrow(_once, "text string, t1 long, t2 long")

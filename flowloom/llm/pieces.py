@@ -35,7 +35,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, small_batches
 
 CHUNK = 1 << 16
 SPACE = "▁"
@@ -280,6 +280,7 @@ def _batches(batch: pa.RecordBatch, lengths: np.ndarray, most: int):
 def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, str]:
     """docs with one more column, the ids (array<int>) of the text; and that column's name."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(model_path, "rb") as f:  # on the driver; executors get the bytes
         shared = spark.sparkContext.broadcast(f.read())
     name = fresh(docs, "ids")

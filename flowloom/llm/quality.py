@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sample_bounded
+from .common import fresh, sample_bounded, small_batches
 from .textbytes import NOT_SPACE, column_bytes, mix, words
 
 TEXT_FEATURES = 14
@@ -200,6 +200,7 @@ def _with_features(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", page: tuple[str, str, str] = ("lang", "source", "n_chars"), labelled: int = 12_000, pool: int = 12_000) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in zip(page, ("lang", "source", "n_chars"), strict=True)))
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropna().groupBy("key").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     chosen = sample_bounded(marked, F.col("key"), labelled, 5)
@@ -223,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text", page: tuple[str, str, str] = ("lang", "source", "n_chars")) -> tuple[DataFrame, str]:
     """docs with one more column, a struct of p_text, p_page and score; and that column's name."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<p_text:double,p_page:double,score:double>")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sample_bounded
+from .common import fresh, sample_bounded, small_batches
 from .textbytes import LOWER, NOT_SPACE, column_bytes
 
 LEVEL = 9
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, the probability that the text is toxic; and that column's name."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
 
