@@ -13,11 +13,13 @@ in the (max, +) semiring. A text of more than `CHUNK` characters is cut at fixed
 3. With its two states known, each chunk finds its own part of the path by itself.
 
 No piece has a word start inside, so all paths meet at word starts. Between its first and last one a
-chunk is encoded by the library and its matrix is the product of a column (its head) and a row (its
-tail); only a chunk without a word start runs the whole lattice here. Other texts are one chunk and
-go to the library as they are. The ids are those that the library gives for the whole text.
+chunk is encoded word by word, each different word once, by the library, and its matrix is the product
+of a column (its head) and a row (its tail); only a chunk without a word start runs the whole lattice
+here. Other texts are one chunk, from word start to end. The ids are those that the library gives for
+the whole text.
 
-Decoding is the library's; chunks of ids give bytes, which are joined before they are read as UTF-8.
+Decoding joins the bytes of the pieces; ids of other than text and byte pieces, and bytes that are not
+UTF-8, go to the library.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the library reads
 U+2581 as a space, so a text that holds it decodes with spaces in its place. Equal giant texts are
@@ -40,6 +42,7 @@ from .common import durable, fresh, small_batches
 CHUNK = 1 << 16
 SPACE = "▁"
 BATCH_CHARS = 1 << 20
+WORDS = 200_000  # words that a process remembers
 MINUS = float("-inf")
 Span = tuple[int, int]  # first character and the one behind the last, counted from the chunk's left cut
 
@@ -55,6 +58,8 @@ class Coder:
         self.ids = {self.sp.id_to_piece(i): i for i in normal}
         self.longest = max(map(len, self.score))
         self.stable_pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("pieces with a word start inside are not supported")
 
@@ -89,6 +94,60 @@ class Coder:
         """Ids of a part that begins with a word start."""
         return self.sp.encode(text[1:].replace(SPACE, " ")) if len(text) > 1 else self.piece_ids(text)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit numbers. Words are encoded once; a text with runs of spaces goes to the library as it is."""
+        plain = [not ("  " in t or t[:1] == " " or t[-1:] == " " or SPACE in t) for t in texts]
+        split = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        known = self.words
+        new = list({w for words in split for w in words if w not in known})
+        for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
+            known[w] = np.array(ids, np.int32).tobytes()
+        return [b"".join([known[w] for w in words]) if p else np.array(self.sp.encode(t), np.int32).tobytes() for t, words, p in zip(texts, split, plain, strict=True)]
+
+    def _bytes_of_pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, length, all bytes) of the pieces; a length of -1 where the library decides."""
+        if self.table is None:
+            raw = []
+            for i in range(self.sp.get_piece_size()):
+                piece = self.sp.id_to_piece(i)
+                other = self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)
+                raw.append(None if other else bytes([int(piece[3:5], 16)]) if self.sp.is_byte(i) else piece.replace(SPACE, " ").encode())
+            size = np.array([-1 if x is None else len(x) for x in raw], np.int64)
+            first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+            self.table = first, size, np.frombuffer(b"".join(x or b"" for x in raw), np.uint8)
+        return self.table
+
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """Texts of lists of ids: list i is ids[edges[i]:edges[i + 1]]."""
+        first, size, flat = self._bytes_of_pieces()
+        n = len(edges) - 1
+        odd = (ids < 0) | (ids >= len(size))
+        safe = np.where(odd, 0, ids)
+        length = size[safe]
+        odd |= length < 0
+        length = np.where(odd, 0, length)
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) - np.repeat(ends - length, length) + np.repeat(first[safe], length)
+        data = flat[at]
+        edge = np.concatenate([[0], ends])[edges]
+        # the space that stands for the start of the text is not part of it
+        lead = (edge[1:] > edge[:-1]) & (np.append(data, 0)[np.minimum(edge[:-1], total)] == 32)
+        begin, end = edge[:-1] + lead, edge[1:]
+        bad = np.concatenate([[0], np.cumsum(odd)])
+        strange = bad[edges[1:]] > bad[edges[:-1]]
+        out: list[str] = []
+        raw = data.tobytes()
+        for i in range(n):
+            try:
+                text = None if strange[i] else raw[begin[i] : end[i]].decode()
+            except UnicodeDecodeError:
+                text = None
+            out.append(self.sp.decode(ids[edges[i] : edges[i + 1]].tolist()) if text is None else text)
+        return pa.array(out, pa.string())
+
 
 class Chunk:
     """A chunk with margins: `text` holds `left` characters before the left cut, then `size`, then the right margin."""
@@ -262,9 +321,9 @@ def _coder(shared) -> Coder:
     return _CODERS[key]
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    edges = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+def _lists(rows: list[bytes]) -> pa.Array:
+    edges = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def _batches(batch: pa.RecordBatch, lengths: np.ndarray, most: int):
@@ -289,12 +348,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     ordinary = F.coalesce(F.length(text), F.lit(0)) <= chunk
 
     def plain(batches):
-        sp = _coder(shared).sp
+        coder = _coder(shared)
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
             for part in _batches(batch, lengths, BATCH_CHARS):
-                texts = [x or "" for x in part.column(column).to_pylist()]
-                ids = [np.array(x, np.int32) for x in sp.encode(texts, num_threads=1)]
+                ids = coder.encode([x or "" for x in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=schema.names)
 
     out = docs.where(ordinary).mapInArrow(plain, schema)
@@ -337,7 +395,7 @@ def _giants(texts: DataFrame, shared, size: int) -> DataFrame:
     def paths(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            ids = [np.array(chunk(r).path(tuple(r["states"][:2]), tuple(r["states"][2:])), np.int32) for r in rows]
+            ids = [np.array(chunk(r).path(tuple(r["states"][:2]), tuple(r["states"][2:])), np.int32).tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("g1"), batch.column("g2"), batch.column("k"), _lists(ids)], ["g1", "g2", "k", "ids"])
 
     fields = "g1 long, g2 long, k int, body string, lead int, n int, first boolean, last boolean"
@@ -354,10 +412,14 @@ def decoder(spark, model_path: str):
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        sp = _coder(shared).sp
+        coder = _coder(shared)
         batch = pa.RecordBatch.from_arrays([column], ["ids"])
         lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        out = [pa.array(sp.decode([x or [] for x in part.column(0).to_pylist()], num_threads=1), pa.string()) for part in _batches(batch, lengths, BATCH_CHARS)]
+        out = []
+        for part in _batches(batch, lengths, BATCH_CHARS):
+            lists = part.column(0)
+            size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            out.append(coder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])))
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode
