@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_KEYS = 1 << 20
 SENT = "bucket int, block int, kind int, keys binary, counts binary"
 ANSWER = "block int, kind int, bucket int, totals binary"

@@ -29,7 +29,7 @@ from .common import fresh, small_batches
 from .textbytes import LOWER, column_bytes
 
 HASHES = 4
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 UNDETERMINED = "und"
 
 

@@ -53,8 +53,8 @@ def text_features(column) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, TEXT_FEATURES))
     at = 0
-    while at < n:  # texts of about 2 MB at a time
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (2 << 20), side="right")) - 1)
+    while at < n:  # texts of about half a MB at a time
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 19), side="right")) - 1)
         piece, edges = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         out[at:to] = _features(piece, edges)
         at = to

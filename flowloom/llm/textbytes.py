@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

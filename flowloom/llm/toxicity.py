@@ -92,8 +92,8 @@ class Scorer:
         n = len(offsets) - 1
         out = np.zeros((n, FEATURES))
         at = 0
-        while at < n:  # texts of about 4 MB at a time, so that the windows held are few
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), side="right")) - 1)
+        while at < n:  # texts of about 1 MB at a time, so that the windows held are few
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1)
             saved, text = self.savings(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             most = np.zeros(to - at)
             np.maximum.at(most, text, saved)
