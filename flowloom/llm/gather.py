@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import release
+
 BLOCK_BYTES = 3 << 20
 BUCKET_KEYS = 1 << 20
 SENT = "bucket int, block int, kind int, keys binary, counts binary"
@@ -91,10 +93,11 @@ def sent(texts: DataFrame, layout: Layout, distinct: Callable[[pa.Table], list[t
         rows: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": []}
         for kind, keys, counts in distinct(table):
             bucket = (keys >> shift).astype(np.int64) if layout.bucket_bits else np.zeros(len(keys), np.int64)
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(keys) else []
-            for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+            edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
                 for name, x in (("bucket", int(bucket[a])), ("kind", kind), ("keys", pack(keys[a:b], width)), ("counts", pack_counts(counts[a:b]))):
                     rows[name].append(x)
+        release()
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array([block] * len(rows["kind"]), pa.int32()), "kind": pa.array(rows["kind"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
 
     return texts.groupBy("block").applyInArrow(send, SENT)
@@ -125,6 +128,7 @@ def answers(sent_rows: DataFrame, layout: Layout) -> DataFrame:
                 out["kind"].append(kind)
                 out["totals"].append(pack_counts(totals[inverse[a:b]]))
         n = len(out["kind"])
+        release()
         return pa.table({"block": pa.array(out["block"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "totals": pa.array(out["totals"], pa.binary())})
 
     return by_block(sent_rows.groupBy("bucket").applyInArrow(answer, ANSWER), layout)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small_batches
-from .textbytes import LOWER, column_bytes
+from .textbytes import LOWER, column_bytes, release
 
 HASHES = 4
 SEGMENT = 1 << 18
@@ -91,6 +91,7 @@ def _count(batches):
                     parts.append((key[cut[i] : cut[i + 1]] & np.uint64(0xFFFFFFFF), n[cut[i] : cut[i + 1]]))
                     if len(parts) >= 16:
                         held[name] = [merged(parts)]
+    release()
     for name, parts in held.items():
         codes, n = merged(parts)
         for a in range(0, len(codes), 1 << 16):
@@ -174,6 +175,7 @@ def predictor(spark, model: Model):
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(column: pa.Array) -> pa.Array:
         lang, score = predict_batch(shared.value, column)
+        release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict

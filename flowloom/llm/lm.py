@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gather import Layout, answers, blocked, sent, summary, totals_of
-from .textbytes import NOT_SPACE, column_bytes, mix, mix_int, words
+from .textbytes import NOT_SPACE, column_bytes, mix, mix_int, release, words
 
 END, START = mix_int(1), mix_int(2)
 WORD, PAIR = 0, 1
@@ -166,6 +166,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         block = Block(left, layout)
         h = left_out_ratios(block, Counts(block, right, train_texts), *known(right))
         at = np.flatnonzero(h)
+        release()
         return pa.table({"at": pa.array(at, pa.int32()), "n": pa.array(h[at], pa.int64())})
 
     def join(right: DataFrame):
@@ -190,6 +191,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         total, distinct, d = known(right)
         backoff = np.array(right.column("backoff")[0].as_py())
         n = len(block.train)
+        release()
         base = np.log10((counts.at_word + 1) / (total + distinct + 1))
         return pa.table({
             "doc_id": left.column("doc_id"), "n_tokens": pa.array(np.bincount(block.text, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(block.text, counts.at_word > 0, n).astype(np.int64), pa.int64()),

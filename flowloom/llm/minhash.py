@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import durable, small_batches
 from .components import components
 from .gather import Layout, answers, blocked, sent, totals_of
-from .textbytes import WORDLIKE, column_bytes, mix, word_ngrams, words
+from .textbytes import WORDLIKE, column_bytes, mix, release, word_ngrams, words
 
 WORDS = 5
 LEAST = 0.8
@@ -177,6 +177,7 @@ def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
         a.append(node[found])
         b.append(np.full(len(found), node[i]))
     a, b = np.concatenate(a), np.concatenate(b)
+    release()
     return pa.table({"a": pa.array(np.concatenate([a, node[rest]]), pa.int64()), "b": pa.array(np.concatenate([b, lead[rest]]), pa.int64()), "left": pa.array([False] * len(a) + [True] * len(rest))})
 
 
@@ -241,6 +242,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         band = signatures(keys, owner, weights(tf, step), n)
         squeeze = zstandard.ZstdCompressor(level=1)
         rows = left.take(pa.array(has))
+        release()
         size = pa.array([len(x.as_buffer()) for x in _reads(rows.column("text"))], pa.int64())
         return pa.table({
             "node": rows.column("t1"), "t2": rows.column("t2"), "size": size, "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel())),

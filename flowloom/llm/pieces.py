@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, fresh, small_batches
+from .textbytes import release
 
 CHUNK = 1 << 16
 SPACE = "▁"
-BATCH_CHARS = 1 << 20
-WORDS = 200_000  # words that a process remembers
+BATCH_CHARS = 1 << 19
+WORDS = 80_000  # words that a process remembers
 MINUS = float("-inf")
 Span = tuple[int, int]  # first character and the one behind the last, counted from the chunk's left cut
 
@@ -354,6 +355,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
             for part in _batches(batch, lengths, BATCH_CHARS):
                 ids = coder.encode([x or "" for x in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=schema.names)
+            release()
 
     out = docs.where(ordinary).mapInArrow(plain, schema)
     giants = docs.where(~ordinary)
@@ -420,6 +422,7 @@ def decoder(spark, model_path: str):
             lists = part.column(0)
             size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             out.append(coder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])))
+        release()
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, sample_bounded, small_batches
-from .textbytes import NOT_SPACE, column_bytes, mix, words
+from .textbytes import NOT_SPACE, column_bytes, mix, release, words
 
 TEXT_FEATURES = 14
 THRESHOLD = 0.25
@@ -58,6 +58,7 @@ def text_features(column) -> np.ndarray:
         piece, edges = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         out[at:to] = _features(piece, edges)
         at = to
+    release()
     return out
 
 

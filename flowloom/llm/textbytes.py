@@ -8,6 +8,8 @@ the results does not grow with the longest text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,15 @@ SEGMENT = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker lives on between stages, and keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def _lower_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32

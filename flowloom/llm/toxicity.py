@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, sample_bounded, small_batches
-from .textbytes import LOWER, NOT_SPACE, column_bytes
+from .textbytes import LOWER, NOT_SPACE, column_bytes, release
 
 LEVEL = 9
 WINDOW = 64
@@ -102,6 +102,7 @@ class Scorer:
             total, many = np.bincount(text, saved, to - at), np.bincount(text, strong, to - at)
             out[at:to] = np.stack([most, np.log1p(np.maximum(total, 0)), total / np.maximum(pieces, 1), np.log1p(many), many / np.maximum(pieces, 1), np.log1p(pieces)], axis=1)
             at = to
+        release()
         return out
 
     def probability(self, column) -> np.ndarray:
