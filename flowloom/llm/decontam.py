@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import durable
 
 SPAN = 13
-GRAM = 4
+GRAM = 6
 BROADCAST_ROWS = 500_000
 #: runs of ASCII letters and digits and of all other characters beyond ASCII (of a lower-cased text)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,18 +60,18 @@ def _hash2(x: Column, y: Column) -> Column:
 
 
 #: how the n-word grams are put together from single words
-_STEPS = {1: [], 2: [1], 3: [1, 1], 4: [1, 2]}
+_STEPS = {1: [], 2: [1], 3: [1, 1], 4: [1, 2], 5: [1, 2, 1], 6: [1, 2, 2]}
 
 
 def with_grams(df: DataFrame, words: str, n: int, name: str) -> DataFrame:
-    """Hashes of n-word runs, 1 <= n <= 4, one for each word; runs that pass the end are cut."""
+    """Hashes of n-word runs, 1 <= n <= 6, one for each word; runs that pass the end are cut."""
     return _doubled(df.withColumn(name, F.transform(words, lambda w: F.xxhash64(w))), name, _STEPS[n], _hash2)
 
 
 def with_fingerprints(df: DataFrame, words: str, short: list[int], name: str) -> DataFrame:
     """Winnowed fingerprints, and all grams of the lengths in `short`."""
-    assert SPAN - GRAM + 1 == 10  # the steps below cover ten grams
-    df = _doubled(with_grams(df, words, GRAM, name), name, [1, 2, 4, 2], lambda x, y: F.least(x, y))
+    assert SPAN - GRAM + 1 == 8  # the steps below cover eight grams
+    df = _doubled(with_grams(df, words, GRAM, name), name, [1, 2, 4], lambda x, y: F.least(x, y))
     for n in short:
         df = with_grams(df, words, n, f"{name}_{n}").withColumn(name, F.concat(name, f"{name}_{n}")).drop(f"{name}_{n}")
     return df.withColumn(name, F.array_distinct(name))
