@@ -201,7 +201,7 @@ def fit_texts(toxic: list[bytes], ordinary: list[bytes], dictionary: int = 32 <<
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, fit_bytes: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, fit_bytes: int = 1 << 15) -> Model:
     """Learn from a bounded sample of the labelled rows of docs."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna().groupBy("key").agg(F.max("label").alias("label"))
     ids = docs.select(F.col(key).alias("key"), F.octet_length(F.col(text)).alias("size")).where("size > 0").where(F.col("size") <= fit_bytes).select("key")
