@@ -30,7 +30,8 @@ def longest_prefix(flows: DataFrame, prefixes: DataFrame, address: str, out: dic
     """flows with the columns `out` (prefix column -> new name) of the longest prefix that holds the address; NULL without one.
 
     prefixes: `by`, network, length and the columns of `out`; (by, network, length) is unique."""
-    lengths = sorted((r.length for r in prefixes.select("length").distinct().collect()), reverse=True)  # at most 33
+    sizes = {r.length: r["count"] for r in prefixes.groupBy("length").count().collect()}  # at most 33 lengths
+    lengths = sorted(sizes, reverse=True)
     found: list[Column] = []
     for n in lengths:
         mask = (0xFFFFFFFF << (32 - n)) & 0xFFFFFFFF
@@ -39,7 +40,7 @@ def longest_prefix(flows: DataFrame, prefixes: DataFrame, address: str, out: dic
         on = F.col(address).bitwiseAND(F.lit(mask)) == F.col("_network")
         for b in by:
             on = on & (F.col(b) == F.col(f"_by_{b}"))
-        flows = flows.join(small(dim), on, "left").drop("_network", *[f"_by_{b}" for b in by])
+        flows = flows.join(F.broadcast(dim) if sizes[n] <= BROADCAST_ROWS else dim, on, "left").drop("_network", *[f"_by_{b}" for b in by])
         found.append(F.col(hit))
     best = F.coalesce(*found) if found else None
     flows = flows.withColumns({o: best[o] if best is not None else F.lit(None).cast(prefixes.schema[c].dataType) for c, o in out.items()})
