@@ -43,10 +43,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out, at = pieces.encode(docs, PIECE_MODEL)
-    back = pieces.decoder(spark, PIECE_MODEL)(F.col(at))
-    same = back == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
-    return out.select("doc_id", "lang", "source", F.size(at).cast("long").alias("n_tokens"), F.col(at).alias("ids"), same.alias("round_trip"))
+    out, at, same = pieces.encode(docs, PIECE_MODEL)
+    return out.select("doc_id", "lang", "source", F.size(at).cast("long").alias("n_tokens"), F.col(at).alias("ids"), F.col(same).alias("round_trip"))
 
 
 STAGES = [

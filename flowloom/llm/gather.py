@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .textbytes import release
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 SENT = "bucket int, block int, kind int, keys binary, counts binary"
 ANSWER = "block int, kind int, bucket int, totals binary"

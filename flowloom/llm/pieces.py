@@ -337,14 +337,17 @@ def _batches(batch: pa.RecordBatch, lengths: np.ndarray, most: int):
         at = to
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, str]:
-    """docs with one more column, the ids (array<int>) of the text; and that column's name."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, the ids (array<int>) of the text and whether they decode to it; and those columns' names.
+
+    Ids are decoded where they are made, so that neither they nor the texts travel once more."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(model_path, "rb") as f:  # on the driver; executors get the bytes
         shared = spark.sparkContext.broadcast(f.read())
     name = fresh(docs, "ids")
-    schema = docs.withColumn(name, F.lit(None).cast("array<int>")).schema
+    same = fresh(docs, "round_trip")
+    schema = docs.withColumns({name: F.lit(None).cast("array<int>"), same: F.lit(None).cast("boolean")}).schema
     column = docs.columns.index(text)
     ordinary = F.coalesce(F.length(text), F.lit(0)) <= chunk
 
@@ -353,8 +356,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
             for part in _batches(batch, lengths, BATCH_CHARS):
-                ids = coder.encode([x or "" for x in part.column(column).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=schema.names)
+                texts = [x or "" for x in part.column(column).to_pylist()]
+                lists = _lists(coder.encode(texts))
+                back = coder.decode(lists.values.to_numpy(), lists.offsets.to_numpy()).to_pylist()
+                good = [a == b.replace(SPACE, " ") for a, b in zip(back, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(good, pa.bool_())], names=schema.names)
             release()
 
     out = docs.where(ordinary).mapInArrow(plain, schema)
@@ -363,7 +369,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     marked = giants.withColumns({key1: F.xxhash64(text), key2: F.xxhash64(F.col(text), F.lit(7))})
     ids = _giants(marked.select(F.col(key1).alias("g1"), F.col(key2).alias("g2"), F.col(text).alias("text")), shared, chunk).withColumnRenamed("ids", name)
     long_rows = marked.join(ids, (marked[key1] == ids["g1"]) & (marked[key2] == ids["g2"])).select(*[marked[c] for c in docs.columns], ids[name])
-    return out.unionByName(long_rows), name
+    back = decoder(spark, model_path)(F.col(name))
+    return out.unionByName(long_rows.withColumn(same, back == F.translate(F.col(text), SPACE, " "))), name, same
 
 
 def _giants(texts: DataFrame, shared, size: int) -> DataFrame:

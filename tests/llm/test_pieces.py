@@ -48,9 +48,9 @@ def test_encoding_rows(spark, docs, with_clashes):
     solid = "".join(r.choice("ertionsahl=/") for _ in range(3000))
     texts = [(1, None), (2, ""), (3, "plain text"), (4, giant), (4, giant), (5, solid), (6, "a ▁ b"), (7, giant + "!"), (None, "no id")]
     df = with_clashes(docs(texts))
-    out, at = pieces.encode(df, PIECE_MODEL, chunk=256)
+    out, at, same = pieces.encode(df, PIECE_MODEL, chunk=256)
     rows = out.withColumn("back", pieces.decoder(spark, PIECE_MODEL)(F.col(at))).collect()
-    assert out.columns == [*df.columns, at] and len(rows) == len(texts)
+    assert out.columns == [*df.columns, at, same] and len(rows) == len(texts) and all(x[same] for x in rows)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     for x in rows:
         assert x[at] == sp.encode(x.text or "")
