@@ -81,7 +81,7 @@ def blocked(docs: DataFrame, layout: Layout, *by: Column) -> DataFrame:
 
 
 def by_block(rows: DataFrame, layout: Layout) -> DataFrame:
-    return rows.repartition(min(layout.blocks, 8192), "block")
+    return rows.repartition(min(-(-layout.blocks // 4), 8192), "block")  # a task takes its blocks one after the other
 
 
 def sent(texts: DataFrame, layout: Layout, distinct: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
