@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..decode import fixed
+from ..decode import batch, fixed
+from ..decode.templated import Limits
 from ..functions import labels, records
 from ..functions.fixed import DSCP, PROTOCOLS, SERVICES, TCP_FLAGS
 from ..operators import distributions, enrich, health, publish, rules, tracking
 from ..operators.aggregate import BREAKDOWNS, bounded, breakdown, idle_sessions, with_service_port
 from ..sources import driver_tables as T
+from ..sources import wire
 from ..sources.wire import encode_v5, encode_v8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -578,12 +580,67 @@ def _shown(flows: DataFrame) -> DataFrame:
 
 @register("decode_v5_roundtrip", _roundtrip_sql({k: 0 for k in fixed.V5_FIELDS}))
 def decode_v5_roundtrip(spark, sf_dir):
-    return _shown(fixed.netflow5(encode_v5(wire_rows(spark, sf_dir)))[0])
+    return _shown(fixed.netflow5(_landed(encode_v5(wire_rows(spark, sf_dir))))[0])
 
 
 def _register_v8() -> None:
     for m, fields in fixed.V8_FIELDS.items():
-        register(f"decode_v8_m{m}_roundtrip", _roundtrip_sql(fields))(lambda s, d, m=m: _shown(fixed.netflow8(encode_v8(wire_rows(s, d), m))[0]))
+        register(f"decode_v8_m{m}_roundtrip", _roundtrip_sql(fields))(lambda s, d, m=m: _shown(fixed.netflow8(_landed(encode_v8(wire_rows(s, d), m)))[0]))
 
 
 _register_v8()
+
+
+_ADDED = "arrival_seq, concat('192.0.2.', CAST(arrival_seq % 8 + 1 AS VARCHAR)) AS exporter"
+_SIMPLE = ["bytes", "packets", "src_port", "dst_port", "protocol", "tos", "tcp_flags", "input_if", "output_if", "src_as", "dst_as"]
+
+
+def _landed(datagrams: DataFrame) -> DataFrame:
+    """Datagrams behind an exchange, as if read from files: their making is not repeated for every field read from them."""
+    return datagrams.repartition("src_addr", "arrival_seq")
+
+
+def _decoded(datagrams: DataFrame, columns: list[str]) -> DataFrame:
+    flows, _ = batch.decode(_landed(datagrams))
+    address = lambda c: F.conv(F.hex(c), 16, 10).cast("long").alias(c)
+    return flows.select("arrival_seq", "exporter", *[address(c) if c.endswith("_addr") else F.col(c).cast("long").alias(c) for c in columns])
+
+
+_V9 = [*_SIMPLE, "src_mask", "dst_mask", "src_addr", "dst_addr", "start_us", "end_us"]
+
+
+@register("decode_v9", f"SELECT {_ADDED}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _V9)} FROM ({_MADE})")
+def decode_v9(spark, sf_dir):
+    return _decoded(wire.encode_v9(wire_rows(spark, sf_dir)), _V9)
+
+
+_IPFIX = [*_SIMPLE, "src_addr", "dst_addr", "start_us", "end_us"]
+
+
+@register("decode_ipfix", f"SELECT {_ADDED}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' if c != 'tos' else 'CAST((tos // 4) * 4 AS BIGINT) AS tos' for c in _IPFIX)} FROM ({_MADE})")
+def decode_ipfix(spark, sf_dir):
+    return _decoded(wire.encode_ipfix(wire_rows(spark, sf_dir)), _IPFIX)
+
+
+@register(
+    "decode_sflow",
+    f"""SELECT {_ADDED}, CAST(bytes % 65536 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS packets, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, CAST(tos AS BIGINT) AS tos,
+    CAST(tcp_flags AS BIGINT) AS tcp_flags, CAST(input_if AS BIGINT) AS input_if, CAST(output_if AS BIGINT) AS output_if, CAST(10 AS BIGINT) AS sampling_rate,
+    CASE WHEN input_if <> 0 AND input_if <> output_if THEN 'ingress' ELSE 'unknown' END AS direction FROM ({_MADE})""",
+)
+def decode_sflow(spark, sf_dir):
+    flows, _ = batch.decode(_landed(wire.encode_sflow(wire_rows(spark, sf_dir))))
+    return flows.select("arrival_seq", "exporter", *[F.col(c).cast("long").alias(c) for c in (*_SIMPLE[:-2], "sampling_rate")], "direction")
+
+
+@register("template_expiry")
+def template_expiry(spark, sf_dir):
+    """Records and missing layouts of each device when layouts are announced now and then and live for an hour of event time."""
+    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("recv"))
+    rows = wire_rows(spark, sf_dir).withColumn("id", F.col("arrival_seq") % 1000).join(e, "id")
+    data = wire.encode_v9(rows, F.col("arrival_seq") % 97 == 0)
+    times = rows.select("arrival_seq", "recv").distinct()
+    seen = data.drop("recv_ts").join(times, "arrival_seq").withColumnRenamed("recv", "recv_ts").withColumn("kind", F.lit("netflow_v9"))
+    ordered = seen.withColumn("arrival_seq", F.unix_micros("recv_ts"))
+    out = batch.templated(ordered, Limits(ttl=3600.0))
+    return out.groupBy("exporter").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error") == "missing_template").alias("missing"))

@@ -41,3 +41,62 @@ def encode_v5(rows: DataFrame, rate: int = 0) -> DataFrame:
 def encode_v8(rows: DataFrame, method: int) -> DataFrame:
     header = F.concat(F.lit(_head(8)), _hex(F.col("arrival_seq") % (1 << 31), 4), F.lit(f"0000{method:02X}0200000000"))
     return _datagram(rows, header, _record(fixed.V8_FIELDS[method], fixed.V8_LENGTH[method]))
+
+
+# Element numbers, widths and sources of the layouts that the encoders announce.
+V9_LAYOUT = [
+    (8, 4, "src"), (12, 4, "dst"), (7, 2, "src_port"), (11, 2, "dst_port"), (4, 1, "protocol"), (5, 1, "tos"), (6, 1, "tcp_flags"), (9, 1, "src_mask"), (13, 1, "dst_mask"), (10, 4, "input_if"),
+    (14, 4, "output_if"), (1, 4, "bytes"), (2, 4, "packets"), (16, 4, "src_as"), (17, 4, "dst_as"), (22, 4, "first"), (21, 4, "last"),
+]
+IPFIX_LAYOUT = [
+    (8, 4, "src"), (12, 4, "dst"), (7, 2, "src_port"), (11, 2, "dst_port"), (4, 1, "protocol"), (195, 1, "dscp"), (6, 2, "tcp_flags"), (10, 4, "input_if"), (14, 4, "output_if"), (1, 8, "bytes"),
+    (2, 8, "packets"), (16, 4, "src_as"), (17, 4, "dst_as"), (152, 8, "start_ms"), (153, 8, "end_ms"),
+]
+LAYOUT_ID = 300
+
+
+def device(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("exporter", F.concat(F.lit("192.0.2."), (F.col("arrival_seq") % 8 + 1).cast("string")))
+
+
+def _set(kind: int, body: Column, size: int) -> Column:
+    return F.concat(F.lit(f"{kind:04X}{size + 4:04X}"), body)
+
+
+def _layout(elements: list[tuple[int, int, str]], kind: int) -> Column:
+    body = f"{LAYOUT_ID:04X}{len(elements):04X}" + "".join(f"{n:04X}{size:04X}" for n, size, _ in elements)
+    return _set(kind, F.lit(body), len(body) // 2)
+
+
+def _data(elements: list[tuple[int, int, str]]) -> Column:
+    return _set(LAYOUT_ID, F.concat(*[_hex(F.col(c), size) for _, size, c in elements]), sum(size for _, size, _ in elements))
+
+
+def _from_device(rows: DataFrame, payload: Column) -> DataFrame:
+    seen = F.lit(None).cast("timestamp").alias("recv_ts")
+    return rows.select("arrival_seq", seen, F.col("exporter").alias("src_addr"), F.lit(2055).alias("src_port"), F.lit("udp").alias("listener"), F.unhex(payload).alias("payload"))
+
+
+def encode_v9(rows: DataFrame, announced: Column | None = None) -> DataFrame:
+    """NetFlow 9 datagrams of one record; the layout goes with those for which `announced` holds (default: all)."""
+    rows = device(rows)
+    head = F.concat(F.lit(f"00090001{UPTIME_MS:08X}{EXPORT_SECONDS:08X}"), _hex(F.col("arrival_seq") % (1 << 31), 4), F.lit("00000007"))
+    layout = _layout(V9_LAYOUT, 0)
+    return _from_device(rows, F.concat(head, layout if announced is None else F.when(announced, layout).otherwise(F.lit("")), _data(V9_LAYOUT)))
+
+
+def encode_ipfix(rows: DataFrame) -> DataFrame:
+    """IPFIX messages of a layout and one record."""
+    at = EXPORT_SECONDS * 1000 - UPTIME_MS
+    rows = device(rows).withColumns({"dscp": F.shiftright(F.col("tos").cast("int"), 2), "start_ms": F.col("first") + at, "end_ms": F.col("last") + at})
+    size = 16 + 4 + 4 + 4 * len(IPFIX_LAYOUT) + 4 + sum(n for _, n, _ in IPFIX_LAYOUT)
+    head = F.concat(F.lit(f"000A{size:04X}{EXPORT_SECONDS:08X}"), _hex(F.col("arrival_seq") % (1 << 31), 4), F.lit("00000007"))
+    return _from_device(rows, F.concat(head, _layout(IPFIX_LAYOUT, 2), _data(IPFIX_LAYOUT)))
+
+
+def encode_sflow(rows: DataFrame, rate: int = 10) -> DataFrame:
+    """sFlow datagrams with one sample, read by the device itself."""
+    word = lambda c: _hex(F.col(c), 4)
+    record = F.concat(F.lit("0000000300000020"), _hex(F.col("bytes") % 65536, 4), word("protocol"), word("src"), word("dst"), word("src_port"), word("dst_port"), word("tcp_flags"), word("tos"))
+    sample = F.concat(F.lit("0000000100000048"), word("first"), _hex(F.col("input_if"), 4), F.lit(f"{rate:08X}000F424000000000"), word("input_if"), word("output_if"), F.lit("00000001"), record)
+    return _from_device(device(rows), F.concat(F.lit("0000000500000001C0000232000000070000000100000000" + "00000001"), sample))
