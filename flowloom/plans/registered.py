@@ -596,8 +596,8 @@ _SIMPLE = ["bytes", "packets", "src_port", "dst_port", "protocol", "tos", "tcp_f
 
 
 def _landed(datagrams: DataFrame) -> DataFrame:
-    """Datagrams behind an exchange, as if read from files: their making is not repeated for every field read from them."""
-    return datagrams.repartition("src_addr", "arrival_seq")
+    """Datagrams as if read from files: the optimizer cannot put their making into every field that is read from them."""
+    return datagrams.mapInArrow(lambda batches: batches, datagrams.schema)
 
 
 def _decoded(datagrams: DataFrame, columns: list[str]) -> DataFrame:
