@@ -16,8 +16,8 @@ greater weights, is `LEAST` or more; equal texts always are. A class is what lin
    more than `CHUNK_BYTES`, to one of several, to each of which the lead goes too.
 5. There the exact weighted Jaccard similarity is computed, of each text with the lead and of those
    that are not similar to it with all others in the chunk. Only found links leave the task: one to
-   the lead, or those of the others. Texts of a group in several chunks that are not similar to the
-   lead go on, bucket by bucket, to a new lead among them, until none is left.
+   the lead, or those of the others. Texts of a group in several chunks that found no similar one go
+   on, bucket by bucket, to a new lead among them, until a round finds no link.
 
 Defined results: null texts are classes of their own; texts without words are linked with equal
 texts only; repeated rows are in one class; rows without id belong to the class of their text and
@@ -148,7 +148,7 @@ def _once(batches):
 
 
 def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
-    """Links found in one chunk of a group: of texts with the lead, and of the others with any. `left` marks texts without a link to the lead."""
+    """Links found in one chunk of a group: of texts with the lead, and of the others with any. `left` marks texts without any link."""
     node, lead = table.column("node").to_numpy(), table.column("lead").to_numpy()
     keys, text, tf, n = sets(table.column("text"), layout)
     edges = np.searchsorted(text, np.arange(n + 1))
@@ -171,11 +171,14 @@ def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
     linked = against(top) >= LEAST
     linked[top] = True
     a, b = [node[linked]], [np.full(linked.sum(), node[top])]
-    rest = np.flatnonzero(~linked)
-    for i in rest:
+    rest = []
+    for i in np.flatnonzero(~linked):
         found = np.flatnonzero(against(int(i)) >= LEAST)
         a.append(node[found])
         b.append(np.full(len(found), node[i]))
+        if not (found != i).any():
+            rest.append(i)
+    rest = np.array(rest, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
     release()
     return pa.table({"a": pa.array(np.concatenate([a, node[rest]]), pa.int64()), "b": pa.array(np.concatenate([b, lead[rest]]), pa.int64()), "left": pa.array([False] * len(a) + [True] * len(rest))})
@@ -202,6 +205,8 @@ def _links(buckets: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
         full = placed.join(texts, "node").select("lead", "chunk", "node", "text", "steps")
         made = durable(full.groupBy("lead", "chunk").applyInArrow(lambda t: _chunk_links(t, layout), "a long, b long, left boolean"))
         new = made.where("not left and a != b").select("a", "b")
+        if not new.limit(1).count():
+            break
         found = new if found is None else found.unionByName(new)
         # only groups in several chunks have texts that were not compared with all others
         wide = spread.where("chunks > 1").select("lead")
