@@ -16,8 +16,11 @@ greater weights, is `LEAST` or more; equal texts always are. A class is what lin
    more than `CHUNK_BYTES`, to one of several, to each of which the lead goes too.
 5. There the exact weighted Jaccard similarity is computed, of each text with the lead and of those
    that are not similar to it with all others in the chunk. Only found links leave the task: one to
-   the lead, or those of the others. Texts of a group in several chunks that found no similar one go
-   on, bucket by bucket, to a new lead among them, until a round finds no link.
+   the lead, or those of the others.
+6. Groups in several chunks: texts that these links, of all groups, do not connect with the lead are
+   dealt to blocks of about `BLOCK_BYTES`, as are those connected with it, and every such block is
+   compared with itself and each other block of the group. So no two similar texts of a bucket stay
+   uncompared, unless other links connect them already.
 
 Defined results: null texts are classes of their own; texts without words are linked with equal
 texts only; repeated rows are in one class; rows without id belong to the class of their text and
@@ -42,6 +45,7 @@ LEAST = 0.8
 IDF = 0.25
 BANDS, ROWS = 8, 3
 CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
 STEPS = 250
 _TABLE = 1 << 12
@@ -147,74 +151,109 @@ def _once(batches):
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
-    """Links found in one chunk of a group: of texts with the lead, and of the others with any. `left` marks texts without any link."""
-    node, lead = table.column("node").to_numpy(), table.column("lead").to_numpy()
-    keys, text, tf, n = sets(table.column("text"), layout)
-    edges = np.searchsorted(text, np.arange(n + 1))
-    step = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in table.column("steps").to_pylist()] or [np.zeros(0, np.uint8)])
-    w = weights(tf, step)
-    one = lambda i: (keys[edges[i] : edges[i + 1]], w[edges[i] : edges[i + 1]])
-    total = np.add.reduceat(np.append(w, 0), np.minimum(edges[:-1], len(w))) * (np.diff(edges) > 0)
-
-    def against(i: int) -> np.ndarray:
-        """Similarity of all texts with text i."""
-        k, v = one(i)
+class _Weighted:
+    """Shingles and weights of the texts of a task's table."""
+
+    def __init__(self, table: pa.Table, layout: Layout):
+        self.keys, text, tf, self.n = sets(table.column("text"), layout)
+        self.edges = np.searchsorted(text, np.arange(self.n + 1))
+        step = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in table.column("steps").to_pylist()] or [np.zeros(0, np.uint8)])
+        self.w = weights(tf, step)
+        self.total = self._sums(self.w, 0, self.n)
+
+    def _sums(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
+        edges = self.edges[first : last + 1] - self.edges[first]
+        return np.add.reduceat(np.append(x, 0), np.minimum(edges[:-1], len(x))) * (np.diff(edges) > 0) if last > first else np.zeros(0)
+
+    def against(self, i: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Similarity of texts first to last - 1 (all) with text i."""
+        last = self.n if last is None else last
+        k, v = (x[self.edges[i] : self.edges[i + 1]] for x in (self.keys, self.w))
         if not len(k):
-            return np.zeros(n)
+            return np.zeros(last - first)
+        keys, w = (x[self.edges[first] : self.edges[last]] for x in (self.keys, self.w))
         at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        both = np.where(k[at] == keys, np.minimum(w, v[at]), 0)
-        common = np.add.reduceat(np.append(both, 0), np.minimum(edges[:-1], len(w))) * (np.diff(edges) > 0)
-        return common / np.maximum(total + total[i] - common, 1e-12)
+        common = self._sums(np.where(k[at] == keys, np.minimum(w, v[at]), 0), first, last)
+        return common / np.maximum(self.total[first:last] + self.total[i] - common, 1e-12)
 
+
+def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
+    """Links found in one chunk of a group: of texts with the lead, and of the others with any."""
+    node, lead = table.column("node").to_numpy(), table.column("lead").to_numpy()
+    texts = _Weighted(table, layout)
     top = int(np.flatnonzero(node == lead)[0])
-    linked = against(top) >= LEAST
+    linked = texts.against(top) >= LEAST
     linked[top] = True
     a, b = [node[linked]], [np.full(linked.sum(), node[top])]
-    rest = []
     for i in np.flatnonzero(~linked):
-        found = np.flatnonzero(against(int(i)) >= LEAST)
+        found = np.flatnonzero(texts.against(int(i)) >= LEAST)
         a.append(node[found])
         b.append(np.full(len(found), node[i]))
-        if not (found != i).any():
-            rest.append(i)
-    rest = np.array(rest, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
+    other = a != b
+    release()
+    return pa.table({"a": pa.array(a[other], pa.int64()), "b": pa.array(b[other], pa.int64())})
+
+
+def _block_links(table: pa.Table, layout: Layout) -> pa.Table:
+    """Links between the texts of two blocks, or within one, that are not connected yet; of a text one to each class (root) that it is similar to."""
+    table = table.sort_by([("block", "ascending"), ("node", "ascending")])
+    node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+    texts = _Weighted(table, layout)
+    cut = int(np.searchsorted(block, block[0], side="right"))
+    within = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+    a, b = [], []
+    for i in range(cut if block[0] == table.column("lo")[0].as_py() else 0):
+        first = i + 1 if within else cut
+        total = texts.total[first:]
+        # the similarity is at most the lesser total by the greater
+        near = (root[first:] != root[i]) & (np.minimum(total, texts.total[i]) >= (LEAST - 1e-9) * np.maximum(total, texts.total[i]))
+        at = np.flatnonzero(near)
+        if len(at):
+            start, stop = first + int(at[0]), first + int(at[-1]) + 1
+            found = start + np.flatnonzero((texts.against(i, start, stop) >= LEAST) & near[start - first : stop - first])
+            one = found[np.unique(root[found], return_index=True)[1]]
+            a.append(node[one])
+            b.append(np.full(len(one), node[i]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
     release()
-    return pa.table({"a": pa.array(np.concatenate([a, node[rest]]), pa.int64()), "b": pa.array(np.concatenate([b, lead[rest]]), pa.int64()), "left": pa.array([False] * len(a) + [True] * len(rest))})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _links(buckets: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
-    """(a, b): links between texts that share a bucket (bucket, node, size)."""
-    found = None
-    spark = buckets.sparkSession
-    while True:
-        sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        live = durable(buckets.join(sizes, "bucket"))
-        if not live.limit(1).count():
-            break
-        support = live.groupBy("node").agg(F.sum("n").alias("support"))
-        ranked = live.join(support, "node")
-        leads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("support", -F.col("node"))).alias("lead"))
-        member = durable(live.join(leads, "bucket").select("bucket", "lead", "node", "size"))
-        pairs = member.select("lead", "node", "size").distinct()
-        spread = pairs.groupBy("lead").agg(F.ceil(F.sum("size") / CHUNK_BYTES).cast("int").alias("chunks"))
-        placed = pairs.join(spread, "lead").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        to_all = spread.select("lead", F.col("lead").alias("node"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        placed = placed.where("lead != node").select("lead", "node", "chunks", "chunk").unionByName(to_all)
-        full = placed.join(texts, "node").select("lead", "chunk", "node", "text", "steps")
-        made = durable(full.groupBy("lead", "chunk").applyInArrow(lambda t: _chunk_links(t, layout), "a long, b long, left boolean"))
-        new = made.where("not left and a != b").select("a", "b")
-        if not new.limit(1).count():
-            break
-        found = new if found is None else found.unionByName(new)
-        # only groups in several chunks have texts that were not compared with all others
-        wide = spread.where("chunks > 1").select("lead")
-        left = made.where("left").select(F.col("a").alias("node"), F.col("b").alias("lead")).join(wide, "lead")
-        buckets = durable(member.join(left, ["lead", "node"], "left_semi").select("bucket", "node", "size"))
-        if not buckets.limit(1).count():
-            break
-    return spark.createDataFrame([], "a long, b long") if found is None else found
+    """(a, b): links that connect all similar texts that share a bucket (bucket, node, size)."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    live = durable(buckets.join(sizes, "bucket"))
+    support = live.groupBy("node").agg(F.sum("n").alias("support"))
+    ranked = live.join(support, "node")
+    leads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("support", -F.col("node"))).alias("lead"))
+    pairs = durable(live.join(leads, "bucket").select("lead", "node", "size").distinct())
+    spread = pairs.groupBy("lead").agg(F.ceil(F.sum("size") / CHUNK_BYTES).cast("int").alias("chunks"))
+    placed = pairs.join(spread, "lead").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    to_all = spread.select("lead", F.col("lead").alias("node"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    placed = placed.where("lead != node").select("lead", "node", "chunks", "chunk").unionByName(to_all)
+    full = placed.join(texts, "node").select("lead", "chunk", "node", "text", "steps")
+    found = durable(full.groupBy("lead", "chunk").applyInArrow(lambda t: _chunk_links(t, layout), "a long, b long"))
+    # only groups in several chunks have texts that were not compared with all others
+    wide = durable(spread.where("chunks > 1").select("lead"))
+    if not wide.limit(1).count():
+        return found
+    roots = components(found)
+    group = pairs.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = durable(group)
+    top = group.where("node = lead").select("lead", F.col("root").alias("top"))
+    apart = F.col("root") != F.col("top")
+    group = group.join(top, "lead").withColumn("apart", apart)
+    blocks = lambda x: F.ceil(F.coalesce(F.sum(F.when(x, F.col("size"))), F.lit(0)) / BLOCK_BYTES).cast("int")
+    split = group.groupBy("lead").agg(blocks(F.col("apart")).alias("apart_blocks"), blocks(~F.col("apart")).alias("own_blocks")).where("apart_blocks > 0")
+    group = group.join(split, "lead").withColumn("h", F.xxhash64("node", F.lit(3)))
+    group = group.withColumn("block", F.when(F.col("apart"), F.pmod("h", F.col("apart_blocks"))).otherwise(F.col("apart_blocks") + F.pmod("h", F.col("own_blocks"))).cast("int"))
+    # pairs of blocks of which one at least is apart: within the lead's class all are connected
+    meets = F.when(F.col("apart"), F.col("apart_blocks") + F.col("own_blocks")).otherwise(F.col("apart_blocks"))
+    dealt = group.withColumn("x", F.explode(F.sequence(F.lit(0), meets - 1))).select("lead", "node", "root", "block", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"))
+    full = dealt.join(texts, "node").select("lead", "lo", "hi", "block", "node", "root", "text", "steps")
+    more = durable(full.groupBy("lead", "lo", "hi").applyInArrow(lambda t: _block_links(t, layout), "a long, b long"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,9 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from flowloom.llm import decontam, gather, minhash
+from flowloom.llm.components import components
 from flowloom.llm.queries import ORACLE_SQL, QUERIES
 from tests import oracle
 
@@ -86,6 +89,56 @@ def test_classes_equal_brute_force(spark, docs, rows, monkeypatch, chunk):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def linked_only_apart(r, n=24):
+    """Texts in one bucket family: copies of a hub, a chain that leads away from it, and two families that are far from the hub."""
+    hub = prose(r, 240).split()
+
+    def changed(base, n, far=0):
+        w = list(base)
+        for i in range(n):
+            w[far + 8 * i] = prose(r, 1) + "y"
+        return w
+
+    out = [hub] + [changed(hub, 1, 8 * k % 232) for k in range(n)]
+    step = hub
+    for k in range(8):  # each two edits beyond the one before
+        step = changed(step, 2, 16 * k)
+        out.append(step)
+    for k in range(3):
+        base = changed(hub, 9, 60 * k)
+        out += [base] + [changed(base, 1, 8 * j) for j in range(n // 4)]
+    return [" ".join(w) for w in out]
+
+
+def similar_classes(texts):
+    """Classes of texts by shingle counts alone, all pairs compared."""
+    sets = [shingle_counts(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = sum((x & y).values())
+            if both / (sum(x.values()) + sum(y.values()) - both) >= minhash.LEAST and root[i] != root[j]:
+                root = [root[j] if k == root[i] else k for k in root]
+    return {frozenset(i for i, k in enumerate(root) if k == one) for one in root}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_link_of_a_bucket_in_several_chunks_is_lost(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 9000, raising=False)
+    r = random.Random(seed)
+    texts = linked_only_apart(r)
+    r.shuffle(texts)
+    layout = gather.Layout(sum(map(len, texts)), len(texts), 1)
+    squeeze = zstandard.ZstdCompressor()
+    even = [squeeze.compress(bytes(len(minhash.sets(pa.array([t]), layout)[0]))) for t in texts]
+    made = spark.createDataFrame([(i, t, bytearray(x)) for i, (t, x) in enumerate(zip(texts, even, strict=True))], "node long, text string, steps binary")
+    buckets = spark.createDataFrame([(1, i, len(t)) for i, t in enumerate(texts)], "bucket long, node long, size long")
+    root = {r.node: r.root for r in components(minhash._links(buckets, made, layout)).collect()}
+    whole = [root.get(i, i) for i in range(len(texts))]
+    assert {frozenset(i for i, k in enumerate(whole) if k == one) for one in whole} == similar_classes(texts)
+
+
 def test_one_row_of_each_class_stays(docs, rows, with_clashes):
     df = with_clashes(docs(rows))
     kept = minhash.representatives(df)
