@@ -6,9 +6,11 @@ that it gives, in text order, are matched against ordered rules: a rule is a seq
 identifiers that must occur in this order, with no more than ``gap`` other known sentences between
 two of them. A rule with more sentences wins over the rules whose match lies inside its own.
 
-A licence text may be wrapped: a sentence is looked up as a whole and, where line breaks lie inside,
-as every run of whole lines from a break to its end and from its start to a break, so a heading
-without a full stop does not hide the sentence that follows.
+A licence text may be wrapped, and a known sentence may itself hold colons, semicolons or full stops
+of abbreviations. So sentences are cut into lines too, and from each line, left to right, every run
+of lines is looked up as long as a known sentence begins like it; the longest that is known counts,
+and the search goes on behind it. Neither a heading without a full stop nor a further licence line
+hides a sentence.
 
 Defined results: null and empty texts have no sentences and no licences; a licence that occurs more
 than once is listed once, at its first place; sentences that look like licence text but are not
@@ -88,6 +90,7 @@ STEMS = ("licen", "permission", "copyright", "warrant", "redistribut", "cc by",
 GAP = 2
 
 _BY_TEXT = {text: name for name, text in SENTENCES.items()}
+_BEGINNINGS = {" ".join(w[:n]) for w in map(str.split, _BY_TEXT) for n in range(1, len(w) + 1)}
 _LIKELY = re.compile("licen|permission|copyright|warrant|redistribut|cc.{0,3}by|cc0|liable|endorse", re.IGNORECASE | re.DOTALL)
 _END = re.compile(r"[.:;!?](?=\s|$)|\n[^\S\n]*\n")
 _OTHER = re.compile(r"[\W_]+")
@@ -100,24 +103,31 @@ def normalise(sentence: str) -> str:
 def sentence_ids(text: str | None) -> tuple[list[str], int]:
     """Identifiers of the known licence sentences in text order, and the number of unknown ones that look like licence text."""
     found: list[str] = []
-    unknown = 0
     if not text or not _LIKELY.search(text):
-        return found, unknown
+        return found, 0
+    parts: list[tuple[str, int]] = []  # normalised lines of sentences that are not empty, and the sentence's number
+    likely = []
     at = 0
-    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    for k, stop in enumerate([*(m.end() for m in _END.finditer(text)), len(text)]):
         raw, at = text[at:stop], stop
-        if not _LIKELY.search(raw):
-            continue
-        name = _BY_TEXT.get(normalise(raw))
-        if name is None and "\n" in raw:
-            lines = raw.split("\n")
-            runs = [(i, len(lines)) for i in range(1, len(lines))] + [(0, j) for j in range(len(lines) - 1, 0, -1)] + [(i, i + 1) for i in range(len(lines))]
-            name = next((n for i, j in runs if (n := _BY_TEXT.get(normalise(" ".join(lines[i:j]))))), None)
-        if name is None:
-            unknown += 1
-        else:
+        likely.append(bool(_LIKELY.search(raw)))
+        parts += [(x, k) for x in map(normalise, raw.split("\n")) if x]
+    known: set[int] = set()
+    i = 0
+    while i < len(parts):
+        run, j, end = "", i, i
+        while j < len(parts):
+            run = f"{run} {parts[j][0]}" if run else parts[j][0]
+            if run not in _BEGINNINGS:
+                break
+            j += 1
+            if run in _BY_TEXT:
+                name, end = _BY_TEXT[run], j
+        if end > i:
             found.append(name)
-    return found, unknown
+            known.update(k for _, k in parts[i:end])
+        i = max(end, i + 1)
+    return found, sum(x and k not in known for k, x in enumerate(likely))
 
 
 def match(ids: list[str]) -> list[str]:

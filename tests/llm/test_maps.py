@@ -87,6 +87,46 @@ def test_ordered_rules_win_over_their_parts():
     assert licenses.match(["bsd-redistribution", "cc0", "cc0", "cc0", "bsd-source", "bsd-binary"]) == ["CC0-1.0"]
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+@pytest.mark.parametrize(
+    ("text", "ids", "want"),
+    [
+        (APACHE, ["apache2-may-not-use", "apache2-obtain", "apache2-as-is", "apache2-see"], "Apache-2.0"),
+        (GPL % (":", ",", 3), ["gpl3-or-later", "gpl-hope", "gpl-details"], "GPL-3.0-or-later"),
+        (GPL % (";", ";", 2), ["gpl2-or-later", "gpl-hope", "gpl-details"], "GPL-2.0-or-later"),
+        (MPL, ["mpl2"], "MPL-2.0"),
+    ],
+)
+def test_punctuated_licence_headers(text, ids, want):
+    for wrapped in (text, "".join(f"# {x}\n" for x in text.splitlines()), f"A heading\n{text}"):
+        assert licenses.sentence_ids(wrapped)[0] == ids
+        assert licenses.match(licenses.sentence_ids(wrapped)[0]) == [want]
+
+
 def test_every_known_sentence_is_looked_at():
     for name, text in licenses.SENTENCES.items():
         assert licenses.sentence_ids(text.upper() + ".")[0] == [name]
