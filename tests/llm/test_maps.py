@@ -127,6 +127,14 @@ def test_punctuated_licence_headers(text, ids, want):
         assert licenses.match(licenses.sentence_ids(wrapped)[0]) == [want]
 
 
+def test_all_licences_of_lines_without_stops():
+    ids = lambda text: licenses.sentence_ids(text)[0]
+    assert ids("Licensed under the MIT License\nLicensed under CC BY 4.0") == ["mit-licensed", "cc-by-4"]
+    assert ids("Title\nThis work is licensed under the GNU General\nPublic License, version 3\nAnother line") == ["gpl3-work"]
+    assert ids("Title\nLicensed under\nCC BY 4.0\nText\nReleased under the MIT License\nEnd") == ["cc-by-4", "mit-released"]
+    assert licenses.sentence_ids("A strange license\nLicensed under CC BY 4.0. Another strange license.") == (["cc-by-4"], 1)
+
+
 def test_every_known_sentence_is_looked_at():
     for name, text in licenses.SENTENCES.items():
         assert licenses.sentence_ids(text.upper() + ".")[0] == [name]
