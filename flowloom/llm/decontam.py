@@ -36,13 +36,13 @@ from .common import durable
 SPAN = 13
 GRAM = 6
 BROADCAST_ROWS = 500_000
-#: runs of ASCII letters and digits and of all other characters beyond ASCII (of a lower-cased text)
+#: runs of ASCII letters and digits and of all other characters beyond ASCII (of a text with A-Z lower-cased)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column, exact: bool) -> Column:
-    """Words of a text. Exact: only A-Z are lower-cased. Else all letters, which is cheaper and never parts equal words."""
-    folded = F.translate(text, string.ascii_uppercase, string.ascii_lowercase) if exact else F.lower(text)
+def words_of(text: Column) -> Column:
+    """Words of a text, A-Z lower-cased. Not lower(): the case of a capital sigma there depends on what follows the word."""
+    folded = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     return F.regexp_extract_all(F.coalesce(folded, F.lit("")), F.lit(WORD), F.lit(0))
 
 
@@ -92,17 +92,17 @@ def _small(df: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document row: doc_id, t1, t2 (hashes of the text), n_words, n_hit, n_items, items_sha256."""
     bench = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
-    bench = durable(bench.select("item", words_of(F.col("text"), True).alias("words"), words_of(F.col("text"), False).alias("folded")).where(F.size("words") > 0))
+    bench = durable(bench.select("item", words_of(F.col("text")).alias("words")).where(F.size("words") > 0))
     lengths = [r.n for r in bench.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()]
     short = sorted({min(n, GRAM) for n in lengths if n < SPAN})
-    full = with_fingerprints(bench.where(F.size("words") >= SPAN), "folded", [], "fps").select(F.explode("fps").alias("fp"))
+    full = with_fingerprints(bench.where(F.size("words") >= SPAN), "words", [], "fps").select(F.explode("fps").alias("fp"))
     for n in short:
         has = (F.size("words") < SPAN) & (F.least(F.size("words"), F.lit(GRAM)) == n)
-        full = full.unionByName(with_grams(bench.where(has), "folded", n, "grams").select(F.element_at("grams", 1).alias("fp")))
+        full = full.unionByName(with_grams(bench.where(has), "words", n, "grams").select(F.element_at("grams", 1).alias("fp")))
     marks = durable(full.distinct().withColumn("mark", F.lit(1)))
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(7))})
-    made = rows.select("doc_id", "t1", "t2", words_of(F.col("text"), False).alias("words"))
+    made = rows.select("doc_id", "t1", "t2", words_of(F.col("text")).alias("words"))
     made = with_fingerprints(made.withColumn("n_words", F.size("words")), "words", short, "fps")
     made = made.select("doc_id", "t1", "t2", "n_words", F.posexplode_outer("fps").alias("pos", "fp"))
     same = ["doc_id", "t1", "t2"]
@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     suspects = facts.where("mark = 1").select(*same)
 
     one = rows.join(_small(suspects), [rows[c].eqNullSafe(suspects[c]) for c in same], "left_semi").dropDuplicates(same)
-    one = one.select(*same, words_of(F.col("text"), True).alias("words"))
+    one = one.select(*same, words_of(F.col("text")).alias("words"))
     runs = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     spots = one.select(*same, "words", F.explode(runs).alias("n")).select(*same, "n", F.inline(_windows(F.col("words"), F.col("n"))))
     wins = bench.select("item", "words", F.least(F.size("words"), F.lit(SPAN)).alias("n")).select("item", "n", F.inline(_windows(F.col("words"), F.col("n")))).select("item", "n", "k1", "k2").distinct()

@@ -221,6 +221,13 @@ def test_contamination_equals_brute_force(spark, docs, seed, shortest):
     assert made(spark, docs, texts, items) == contamination_by_brute_force(texts, items)
 
 
+def test_passages_in_capital_greek(spark, docs):
+    words_ = [f"ΛΟΓΟΣ ΤΗΣ{k}Α ΠΟΛΕΩΣ" for k in range(6)]
+    items, texts = [(1, " ".join(words_))], [(k, " ".join(words_).replace(" ", mark) + " and more words behind") for k, mark in ((1, "."), (2, "'"))] + [(3, "ΠΟΛΕΩΣ")]
+    got = made(spark, docs, texts, items)
+    assert got == contamination_by_brute_force(texts, items) and [x[2] for x in got] == [18, 18, 0]
+
+
 def test_large_sides_are_shuffled(spark, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 3)
     texts, items = passages(6, 7)
