@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import durable, hash_pair, small_enough
 
 SPAN = 13
 GRAM = 6
-BROADCAST_ROWS = 500_000
+#: rows of a side that is broadcast; they are at most five numbers wide, about 64 bytes each in the executors' table, so 8 MB
+BROADCAST_ROWS = 125_000
 #: runs of ASCII letters and digits and of all other characters beyond ASCII (of a text with A-Z lower-cased)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,12 +82,12 @@ def _windows(words: Column, n: Column) -> Column:
     """Array of (first word, 128-bit hash) of all runs of n words."""
     last = F.size(words) - n
     at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, n)).alias("k1"), F.xxhash64(F.slice(words, i + 1, n), F.lit(7)).alias("k2")))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), *(h.alias(k) for h, k in zip(hash_pair(F.slice(words, i + 1, n)), ("k1", "k2"), strict=True))))
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if its rows are few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df marked for broadcast if its rows, of a few numbers each, are few."""
+    return small_enough(df, BROADCAST_ROWS)
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -101,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         full = full.unionByName(with_grams(bench.where(has), "words", n, "grams").select(F.element_at("grams", 1).alias("fp")))
     marks = durable(full.distinct().withColumn("mark", F.lit(1)))
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(7))})
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumns(dict(zip(("t1", "t2"), hash_pair(F.col("text")), strict=True)))
     made = rows.select("doc_id", "t1", "t2", words_of(F.col("text")).alias("words"))
     made = with_fingerprints(made.withColumn("n_words", F.size("words")), "words", short, "fps")
     made = made.select("doc_id", "t1", "t2", "n_words", F.posexplode_outer("fps").alias("pos", "fp"))
@@ -144,7 +145,8 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """The rows of docs that are not contaminated, all columns kept."""
     bad = contamination(docs, items, key, text).where(contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("t1").alias("_bad_1"), F.col("t2").alias("_bad_2")).distinct()
     bad = durable(bad)
-    same = docs[key].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text]) == bad["_bad_1"]) & (F.xxhash64(docs[text], F.lit(7)) == bad["_bad_2"])
+    t1, t2 = hash_pair(docs[text])
+    same = docs[key].eqNullSafe(bad["_bad_id"]) & (t1 == bad["_bad_1"]) & (t2 == bad["_bad_2"])
     return docs.join(_small(bad), same, "left_anti")
 
 
