@@ -8,8 +8,8 @@ in the (max, +) semiring. A text of more than `CHUNK` characters is cut at fixed
 1. A chunk's transfer matrix has an entry for each pair of a state at its left and one at its right
    cut. A state is the piece that covers the character before the cut, with its place; margins of the
    longest piece's length let both neighbours name the same states.
-2. Matrices are combined by the associative max-plus product, from the left and from the right; the
-   state at each cut is where the two products meet.
+2. Matrices are combined by the associative max-plus product up a balanced tree; the states at the
+   text's ends are then handed down it, and at each node the state between its two halves is chosen.
 3. With its two states known, each chunk finds its own part of the path by itself.
 
 No piece has a word start inside, so all paths meet at word starts. Between its first and last one a
@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, small_batches
+from .common import durable, fresh, hash_pair, small_batches
 from .textbytes import release
 
 CHUNK = 1 << 16
@@ -268,29 +268,27 @@ def product(a: dict, b: dict) -> dict:
 
 
 def cut_states(matrices: list[dict], sizes: list[int]) -> list[tuple[Span, Span]]:
-    """The states at both cuts of each chunk, each in the chunk's own places."""
+    """The states at both cuts of each chunk, each in the chunk's own places: products are combined up a balanced tree, and states handed down it."""
     move = lambda s, n: (s[0] - n, s[1] - n)
     # right states renamed to the next chunk's places
-    named = [{(i, move(j, n)): w for (i, j), w in m.items()} for m, n in zip(matrices, sizes, strict=True)]
-    after: list[dict] = [{}] * (len(named) + 1)
-    last = {j for _, j in named[-1]}
-    after[-1] = {(j, j): 0.0 for j in last}
-    for k in range(len(named) - 1, -1, -1):
-        joint = product(named[k], after[k + 1])
-        after[k] = {}
-        for (i, _), w in joint.items():  # a vector is enough: the best end
-            if w > after[k].get((i, None), MINUS):
-                after[k][i, None] = w
-        if k == len(named) - 1:
-            after[k + 1] = {(j, None): 0.0 for j in last}
-    out = []
-    state = max((i for i, _ in after[0]), key=lambda i: after[0][i, None])
-    for k, m in enumerate(named):
-        reach = [(w + after[k + 1].get((j, None), MINUS), j) for (i, j), w in m.items() if i == state]
-        to = max(reach)[1]
-        out.append((state, move(to, -sizes[k])))
-        state = to
-    return out
+    level = [{(i, move(j, n)): w for (i, j), w in m.items()} for m, n in zip(matrices, sizes, strict=True)]
+    tree = [level]
+    while len(level) > 1:
+        level = [product(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        tree.append(level)
+    # a node's states at its outer cuts are known; the one between its children is where their weights are greatest
+    known = [max(tree[-1][0], key=tree[-1][0].get)]
+    for level in reversed(tree[:-1]):
+        below: list[tuple[Span, Span]] = []
+        for k, (left, right) in enumerate(known):
+            if 2 * k + 1 == len(level):
+                below.append((left, right))
+                continue
+            a, b = level[2 * k], level[2 * k + 1]
+            middle = max((j for i, j in a if i == left and (j, right) in b), key=lambda j: a[left, j] + b[j, right])
+            below += [(left, middle), (middle, right)]
+        known = below
+    return [(i, move(j, -n)) for (i, j), n in zip(known, sizes, strict=True)]
 
 
 def chunks_of(text: str, longest: int, size: int = CHUNK):
@@ -366,7 +364,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     out = docs.where(ordinary).mapInArrow(plain, schema)
     giants = docs.where(~ordinary)
     key1, key2 = fresh(docs, "giant_1"), fresh(docs, "giant_2")
-    marked = giants.withColumns({key1: F.xxhash64(text), key2: F.xxhash64(F.col(text), F.lit(7))})
+    marked = giants.withColumns(dict(zip((key1, key2), hash_pair(F.col(text)), strict=True)))
     ids = _giants(marked.select(F.col(key1).alias("g1"), F.col(key2).alias("g2"), F.col(text).alias("text")), shared, chunk).withColumnRenamed("ids", name)
     long_rows = marked.join(ids, (marked[key1] == ids["g1"]) & (marked[key2] == ids["g2"])).select(*[marked[c] for c in docs.columns], ids[name])
     back = decoder(spark, model_path)(F.col(name))

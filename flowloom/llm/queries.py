@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from . import decontam, langid, licenses, lm, minhash, pieces, quality, sharding
 from .common import crc_mod, table
 
 #: the vocabulary that the registered queries use
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+PIECE_MODEL = os.environ.get("FLOWLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
