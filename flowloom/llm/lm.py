@@ -14,6 +14,8 @@ p is the absolutely discounted unigram model: p(w) = (c(w) - D) / N, the mass D
 unknown words, D = n1 / (n1 + 2 n2). The backoff weights b are those with the greatest likelihood
 of the training texts when each text's own counts are left out (deleted interpolation).
 
+Words and pairs are known by 64-bit hashes (gather.py says how rarely two share one).
+
 The automaton grows with the corpus and is never in one place. A block of texts gets the counts of
 the arcs that its own texts can take (see gather.py), builds that part of the automaton, and passes
 each text through it once from left to right. A matched arc's target depends on the word alone, so
@@ -46,7 +48,7 @@ _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 class Block:
     """The tokens of a block's texts, and its distinct words and pairs with their training counts in it."""
 
-    def __init__(self, table: pa.Table, layout: Layout):
+    def __init__(self, table: pa.Table):
         data, offsets = column_bytes(table.column("text"))
         _, _, h, first = words(data, offsets, NOT_SPACE)
         n = len(offsets) - 1
@@ -62,8 +64,8 @@ class Block:
         before[1:] = token[:-1]
         before[self.last - count] = START
         weight = self.train[self.text].astype(np.int64)
-        self.word, self.token, self.word_n = self._distinct(layout.keys(mix(token)), weight)
-        self.pair, self.token_pair, self.pair_n = self._distinct(layout.keys(mix(before * _ODD + token)), weight)
+        self.word, self.token, self.word_n = self._distinct(mix(token), weight)
+        self.pair, self.token_pair, self.pair_n = self._distinct(mix(before * _ODD + token), weight)
         # the state before each token: the word before it, or the start
         self.state = np.empty(len(token), np.int64)
         self.state[1:] = self.token[:-1]
@@ -154,7 +156,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     train_texts = rows.where("train").count()
     layout = Layout.of(rows, "text", 2)
     texts = blocked(rows, layout, F.col("doc_id"), F.col("text"))
-    pieces = sent(texts, layout, lambda table: Block(table, layout).parts())
+    pieces = sent(texts, layout, lambda table: Block(table).parts())
     facts = summary(pieces, layout, WORD).select(F.struct("total", "distinct", "once", "twice").alias("facts"))
     replies = answers(pieces, layout).withColumn("facts", facts.scalar())
 
@@ -163,7 +165,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         return f["total"], f["distinct"], discount(f["once"], f["twice"])
 
     def count_ratios(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, layout)
+        block = Block(left)
         h = left_out_ratios(block, Counts(block, right, train_texts), *known(right))
         at = np.flatnonzero(h)
         release()
@@ -186,7 +188,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         return pa.array(out, pa.list_(pa.float64()))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, layout)
+        block = Block(left)
         counts = Counts(block, right, train_texts)
         total, distinct, d = known(right)
         backoff = np.array(right.column("backoff")[0].as_py())

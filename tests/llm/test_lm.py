@@ -74,30 +74,24 @@ def scored(spark, docs, texts, train):
 def test_equals_brute_force(spark, docs, monkeypatch, train, block):
     monkeypatch.setattr(gather, "BLOCK_BYTES", block)
     monkeypatch.setattr(gather, "BUCKET_KEYS", 16)
+    monkeypatch.setattr(gather, "GROUP_BLOCKS", 2 if block == 64 else 4096)
     got = scored(spark, docs, TEXTS, train)
     for i, want in enumerate(brute(TEXTS, train)):
         assert got[i] == pytest.approx(want, abs=1e-8)
 
 
-def test_states_sum_to_one():
-    texts, train = ["a b a c", "a b", "c a b b"], [True] * 3
-    vocabulary = ["a", "b", "c", None, "unknown"]
-    for context in ("", "a", "b", "c"):
-        # what one more token adds to a text that ends in the context, over all tokens
-        total = 0.0
-        words, pairs, states = Counter(), Counter(), Counter()
-        for t in texts:
-            seq = tokens(t)
-            words.update(seq)
-            pairs.update(zip(["<s>", *seq], seq, strict=False))
-            states.update(["<s>", *seq[:-1]])
-        n, v, d = sum(words.values()), len(words), lm.discount(*(sum(x == k for x in words.values()) for k in (1, 2)))
-        state = context.encode() if context else "<s>"
-        for w in vocabulary:
-            key = w if w is None else w.encode()
-            p = (words[key] - d) / n if words[key] else d * v / n
-            total += 0.6 * pairs[state, key] / states[state] + 0.4 * p
-        assert total == pytest.approx(1.0)
+def test_continuations_of_contexts(spark, docs):
+    """All continuations of a context, the unknown word among them, in texts that are not learnt from."""
+    learnt = ["a b a c", "a b", "c a b b"] * 3
+    words, unknown = ["a", "b", "c"], "zz"
+    contexts = ["", "a", "b", "c a"]
+    asked = contexts + [f"{c} {w}".strip() for c in contexts for w in [*words, unknown]] + [f"{w}" for w in words]
+    got = scored(spark, docs, learnt + asked, [True] * len(learnt) + [False] * len(asked))
+    score = {t: got[len(learnt) + i][4] for i, t in enumerate(asked)}
+    want = dict(zip(asked, brute(learnt + asked, [True] * len(learnt) + [False] * len(asked))[len(learnt) :], strict=True))
+    assert all(score[t] == pytest.approx(want[t][4], abs=1e-8) for t in asked)
+    # whole texts are events that exclude each other
+    assert 0 < sum(10 ** score[t] for t in set(asked)) < 1
 
 
 def test_repeated_rows_empty_table_and_clashes(spark, docs, with_clashes):
@@ -107,6 +101,15 @@ def test_repeated_rows_empty_table_and_clashes(spark, docs, with_clashes):
     assert lm.scored(with_clashes(docs([(1, "a"), (2, None)])), F.lit(True)).count() == 2
 
 
+def test_vocabulary_of_a_million_words(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("w"), F.hex(F.xxhash64(F.col("id") * 1000 + k)))))
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    r = lm.scored(df, F.lit(True)).agg(F.sum("n_known").alias("known"), F.min("base_score").alias("least"), F.max("base_score").alias("most")).first()
+    # every word is there once, an end for each text
+    want = 1000 * math.log10(2 / (1_001_000 + 1_000_001 + 1)) + math.log10(1001 / (1_001_000 + 1_000_001 + 1))
+    assert r.known == 1_001_000 and r.least == pytest.approx(want, rel=1e-9) and r.most == pytest.approx(want, rel=1e-9)
+
+
 def test_query_learns_from_the_right_documents(spark):
     out = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.001").toPandas()
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 7 == 2 for i in out.doc_id]).all()
