@@ -12,7 +12,7 @@ greater weights, is `LEAST` or more; equal texts always are. A class is what lin
 3. Each text gets `BANDS` * `ROWS` consistent weighted samples; the samples of a band make its key.
 4. Texts with equal band keys are candidates. A text's support is the number of texts that it meets
    in its buckets; the lead of a bucket is its text of most support (in a group of edited copies, the
-   one that most agree with). Every text goes with each of its leads to one task, or, in groups of
+   one that most agree with), found part by part in large buckets. Every text goes with each of its leads to one task, or, in groups of
    more than `CHUNK_BYTES`, to one of several, to each of which the lead goes too.
 5. There the exact weighted Jaccard similarity is computed, of each text with the lead and of those
    that are not similar to it with all others in the chunk. Only found links leave the task: one to
@@ -24,7 +24,8 @@ greater weights, is `LEAST` or more; equal texts always are. A class is what lin
 
 Defined results: null texts are classes of their own; texts without words are linked with equal
 texts only; repeated rows are in one class; rows without id belong to the class of their text and
-never name it. A class is named by its least id.
+never name it. A class is named by its least id. A text is known by a 64-bit hash; where two texts
+share it, by a second one that does not depend on the first.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, hash_pair, small_batches, small_enough
 from .components import components
 from .gather import Layout, answers, blocked, sent, totals_of
 from .textbytes import WORDLIKE, column_bytes, mix, release, word_ngrams, words
@@ -46,7 +47,9 @@ IDF = 0.25
 BANDS, ROWS = 8, 3
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
-BROADCAST_ROWS = 500_000
+PART_ROWS = 1024
+#: rows of a side that is broadcast; they are one or two numbers wide, so 8 MB in an executor's table
+BROADCAST_ROWS = 125_000
 STEPS = 250
 _TABLE = 1 << 12
 
@@ -68,12 +71,11 @@ def shingles(column) -> tuple[np.ndarray, np.ndarray, int]:
     return full, text, len(count)
 
 
-def sets(column, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Distinct (text, key) with occurrences, ordered by text and key."""
     h, text, n = shingles(column)
-    keys = layout.keys(h)
-    order = np.lexsort((keys, text))
-    keys, text = keys[order], text[order]
+    order = np.lexsort((h, text))
+    keys, text = h[order], text[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
@@ -154,8 +156,8 @@ def _once(batches):
 class _Weighted:
     """Shingles and weights of the texts of a task's table."""
 
-    def __init__(self, table: pa.Table, layout: Layout):
-        self.keys, text, tf, self.n = sets(table.column("text"), layout)
+    def __init__(self, table: pa.Table):
+        self.keys, text, tf, self.n = sets(table.column("text"))
         self.edges = np.searchsorted(text, np.arange(self.n + 1))
         step = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in table.column("steps").to_pylist()] or [np.zeros(0, np.uint8)])
         self.w = weights(tf, step)
@@ -177,10 +179,10 @@ class _Weighted:
         return common / np.maximum(self.total[first:last] + self.total[i] - common, 1e-12)
 
 
-def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
+def _chunk_links(table: pa.Table) -> pa.Table:
     """Links found in one chunk of a group: of texts with the lead, and of the others with any."""
     node, lead = table.column("node").to_numpy(), table.column("lead").to_numpy()
-    texts = _Weighted(table, layout)
+    texts = _Weighted(table)
     top = int(np.flatnonzero(node == lead)[0])
     linked = texts.against(top) >= LEAST
     linked[top] = True
@@ -195,11 +197,11 @@ def _chunk_links(table: pa.Table, layout: Layout) -> pa.Table:
     return pa.table({"a": pa.array(a[other], pa.int64()), "b": pa.array(b[other], pa.int64())})
 
 
-def _block_links(table: pa.Table, layout: Layout) -> pa.Table:
+def _block_links(table: pa.Table) -> pa.Table:
     """Links between the texts of two blocks, or within one, that are not connected yet; of a text one to each class (root) that it is similar to."""
     table = table.sort_by([("block", "ascending"), ("node", "ascending")])
     node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-    texts = _Weighted(table, layout)
+    texts = _Weighted(table)
     cut = int(np.searchsorted(block, block[0], side="right"))
     within = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
     a, b = [], []
@@ -220,26 +222,34 @@ def _block_links(table: pa.Table, layout: Layout) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links(buckets: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
-    """(a, b): links that connect all similar texts that share a bucket (bucket, node, size)."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = durable(buckets.join(sizes, "bucket"))
+def _leads(live: DataFrame) -> DataFrame:
+    """(lead, node, size): each text with the leads of its buckets, from (bucket, n, node, size).
+
+    A bucket of n texts is dealt to one part for each `PART_ROWS` of them: its parts find their best text before the bucket does, and each part is joined with a copy of the lead."""
     support = live.groupBy("node").agg(F.sum("n").alias("support"))
-    ranked = live.join(support, "node")
-    leads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("support", -F.col("node"))).alias("lead"))
-    pairs = durable(live.join(leads, "bucket").select("lead", "node", "size").distinct())
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    ranked = live.join(support, "node").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"), "best": F.struct("support", -F.col("node"))})
+    of_parts = ranked.groupBy("bucket", "part", "parts").agg(F.max("best").alias("best"))
+    leads = of_parts.groupBy("bucket", "parts").agg(F.max("best").alias("best"))
+    copies = leads.select("bucket", (-F.col("best")["col2"]).alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return ranked.select("bucket", "part", "node", "size").join(copies, ["bucket", "part"]).select("lead", "node", "size").distinct()
+
+
+def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect all similar texts that share a bucket (bucket, its number of texts n, node, size)."""
+    pairs = durable(_leads(buckets))
     spread = pairs.groupBy("lead").agg(F.ceil(F.sum("size") / CHUNK_BYTES).cast("int").alias("chunks"))
     placed = pairs.join(spread, "lead").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     to_all = spread.select("lead", F.col("lead").alias("node"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     placed = placed.where("lead != node").select("lead", "node", "chunks", "chunk").unionByName(to_all)
     full = placed.join(texts, "node").select("lead", "chunk", "node", "text", "steps")
-    found = durable(full.groupBy("lead", "chunk").applyInArrow(lambda t: _chunk_links(t, layout), "a long, b long"))
+    found = durable(full.groupBy("lead", "chunk").applyInArrow(_chunk_links, "a long, b long"))
     # only groups in several chunks have texts that were not compared with all others
     wide = durable(spread.where("chunks > 1").select("lead"))
     if not wide.limit(1).count():
         return found
     roots = components(found)
-    group = pairs.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = pairs.join(small_enough(wide, BROADCAST_ROWS), "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     group = durable(group)
     top = group.where("node = lead").select("lead", F.col("root").alias("top"))
     apart = F.col("root") != F.col("top")
@@ -252,7 +262,7 @@ def _links(buckets: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
     meets = F.when(F.col("apart"), F.col("apart_blocks") + F.col("own_blocks")).otherwise(F.col("apart_blocks"))
     dealt = group.withColumn("x", F.explode(F.sequence(F.lit(0), meets - 1))).select("lead", "node", "root", "block", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"))
     full = dealt.join(texts, "node").select("lead", "lo", "hi", "block", "node", "root", "text", "steps")
-    more = durable(full.groupBy("lead", "lo", "hi").applyInArrow(lambda t: _block_links(t, layout), "a long, b long"))
+    more = durable(full.groupBy("lead", "lo", "hi").applyInArrow(_block_links, "a long, b long"))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
@@ -260,9 +270,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row for each row of docs: doc_id, component_id, kept."""
     small_batches(docs.sparkSession)
     ids = F.col(key).alias("doc_id")
-    base = docs.select(ids, F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(7)).alias("t2"))
+    base = docs.select(ids, F.col(text).alias("text"), *(h.alias(n) for h, n in zip(hash_pair(F.col(text)), ("t1", "t2"), strict=True)))
+    per_hash = base.where("text is not null").select("t1", "t2").distinct().groupBy("t1").agg(F.count("*").alias("n"))
+    facts = per_hash.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"), F.count_if(F.col("n") > 1).alias("shared")).first()
+    distinct = facts.texts
+    if facts.shared:  # some 27 hashes in 10**10 texts; theirs go by the other hash
+        several = F.broadcast(per_hash.where("n > 1").select(F.col("t1").alias("_shared")))
+        base = base.join(several, F.col("t1") == F.col("_shared"), "left").withColumn("t1", F.when(F.col("_shared").isNull(), F.col("t1")).otherwise(F.col("t2"))).drop("_shared")
     once = base.where("text is not null").select("text", "t1", "t2").mapInArrow(_once, "text string, t1 long, t2 long")
-    distinct = base.where("text is not null").select("t1", "t2").distinct().count()
     layout = Layout.of(docs, text, 1)
     blocks = blocked(once, layout, F.col("t1"))
 
@@ -272,13 +287,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return table.take(pa.array(first))
 
     def frequencies(table: pa.Table):
-        keys, _, _, _ = sets(block_sets(table).column("text"), layout)
+        keys, _, _, _ = sets(block_sets(table).column("text"))
         unique, n = np.unique(keys, return_counts=True)
         return [(0, unique, n.astype(np.int64))]
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         left = block_sets(left)
-        keys, owner, tf, n = sets(left.column("text"), layout)
+        keys, owner, tf, n = sets(left.column("text"))
         unique, inverse = np.unique(keys, return_inverse=True)
         step = idf_step(totals_of(right, 0, len(unique))[inverse], distinct)
         edges = np.searchsorted(owner, np.arange(n + 1))
@@ -296,14 +311,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     replies = answers(sent(blocks, layout, frequencies), layout)
     signed = durable(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(sign, "node long, t2 long, size long, bands array<long>, steps binary"))
     buckets = signed.select("node", "size", F.posexplode("bands").alias("band", "k")).select("node", "size", F.xxhash64("band", "k").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     candidates = durable(buckets.join(shared, "bucket"))
-    nodes = durable(candidates.select("node").distinct())
-    near = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    near = small_enough(durable(candidates.select("node").distinct()), BROADCAST_ROWS)
     # the texts of candidates alone are read again; each once
     wanted = base.where("text is not null").join(near, F.col("t1") == F.col("node"), "left_semi").select("text", "t1", "t2").mapInArrow(_once, "text string, t1 long, t2 long")
     wanted = wanted.groupBy("t1").agg(F.min("text").alias("text")).join(signed.select(F.col("node").alias("t1"), "steps"), "t1").select(F.col("t1").alias("node"), "text", "steps")
-    links = _links(candidates, wanted, layout)
+    links = _links(candidates, durable(wanted))
     roots = components(links)
     thin = base.select("doc_id", F.when(F.col("text").isNotNull(), F.col("t1")).alias("node"))
     named = thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -317,7 +331,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each class that names it, all columns kept; of rows that repeat its id, the one with the least hash of the text. Rows without id stay."""
     found = durable(classes(docs, key, text).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct())
-    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    small = small_enough(found, BROADCAST_ROWS)
     named = docs.join(small, docs[key] == small["_keep_id"], "left_semi")
     again = durable(named.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.xxhash64(text)).alias("_first")).where("_n > 1").select(F.col(key).alias("_again"), "_first"))
     if not again.limit(1).count():

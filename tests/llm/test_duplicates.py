@@ -8,7 +8,10 @@ import pyarrow as pa
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from flowloom.llm import decontam, gather, minhash
+from flowloom.llm.common import hash_pair
 from flowloom.llm.components import components
 from flowloom.llm.queries import ORACLE_SQL, QUERIES
 from tests import oracle
@@ -84,6 +87,8 @@ def test_classes_equal_brute_force(spark, docs, rows, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(gather, "BLOCK_BYTES", 20000)
     monkeypatch.setattr(gather, "BUCKET_KEYS", 500)
+    monkeypatch.setattr(gather, "GROUP_BLOCKS", 3 if chunk == 4000 else 4096)
+    monkeypatch.setattr(minhash, "PART_ROWS", 5 if chunk == 4000 else 1024)
     got = minhash.classes(docs(rows)).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == classes_by_brute_force(rows)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
@@ -129,16 +134,29 @@ def test_no_link_of_a_bucket_in_several_chunks_is_lost(spark, monkeypatch, seed)
     r = random.Random(seed)
     texts = linked_only_apart(r)
     r.shuffle(texts)
-    layout = gather.Layout(sum(map(len, texts)), len(texts), 1)
     squeeze = zstandard.ZstdCompressor()
-    even = [squeeze.compress(bytes(len(minhash.sets(pa.array([t]), layout)[0]))) for t in texts]
+    even = [squeeze.compress(bytes(len(minhash.sets(pa.array([t]))[0]))) for t in texts]
     made = spark.createDataFrame([(i, t, bytearray(x)) for i, (t, x) in enumerate(zip(texts, even, strict=True))], "node long, text string, steps binary")
-    buckets = spark.createDataFrame([(1, i, len(t)) for i, t in enumerate(texts)], "bucket long, node long, size long")
-    root = {r.node: r.root for r in components(minhash._links(buckets, made, layout)).collect()}
+    buckets = spark.createDataFrame([(1, len(texts), i, len(t)) for i, t in enumerate(texts)], "bucket long, n long, node long, size long")
+    root = {r.node: r.root for r in components(minhash._links(buckets, made)).collect()}
     whole = [root.get(i, i) for i in range(len(texts))]
     assert {frozenset(i for i, k in enumerate(whole) if k == one) for one in whole} == similar_classes(texts)
 
 
+def test_texts_that_share_a_hash(docs, rows, monkeypatch):
+    # the first hash tells texts of one first letter apart by nothing
+    monkeypatch.setattr(minhash, "hash_pair", lambda c: (F.xxhash64(F.substring(c, 1, 1)), F.xxhash64(F.lit(7), c)))
+    got = minhash.classes(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == classes_by_brute_force(rows)
+
+
+def test_the_second_hash_is_not_a_function_of_the_first(spark):
+    h1, h2 = hash_pair(F.col("x"))
+    r = spark.createDataFrame([("some text",)], "x string").select(h1.alias("a"), h2.alias("b"), F.xxhash64("x", F.lit(7)).alias("chained")).first()
+    from_first = spark.createDataFrame([(r.a,)], "a long")
+    assert r.b != r.chained and r.b not in set(from_first.select(F.xxhash64("a"), F.xxhash64(F.lit(7), "a"), F.xxhash64("a", F.lit(7))).first())
+
+
 def test_one_row_of_each_class_stays(docs, rows, with_clashes):
     df = with_clashes(docs(rows))
     kept = minhash.representatives(df)
