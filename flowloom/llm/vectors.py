@@ -16,9 +16,12 @@ are linked.
 5. Every node of a shard searches every part of it: a greedy beam search from the medoid, then
    expansion of all nodes in range (with some slack) along links of either direction until none is new. What is in range is verified
    in double precision. A pair that shares several shards counts in the first.
-6. The recall is audited: at most `AUDIT` nodes, picked by hash, are compared with all nodes of their
-   label; below `RECALL` the search is repeated with twice the overlap, and, when a node is in all
-   shards of its label, with twice the degree and beam, up to eight times.
+6. The recall is audited: `AUDIT` nodes, picked by hash, are compared with all nodes of their label;
+   four times as many while they hold fewer than `LINKS` links, up to `AUDIT_MOST`. Below `RECALL` the
+   search is repeated with twice the overlap, and, when a node is in all shards of its label, with
+   twice the degree and beam, up to eight times. If that is not enough, or `AUDIT_MOST` nodes hold too
+   few links to judge by although there are more nodes, every part of a label is compared with every
+   other one exactly, without a graph.
 A task returns one number and one root for each node that it saw, never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those
@@ -33,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sample_bounded
+from .common import durable, hash_pair, sample_bounded
 from .components import components
 
 LEAST = 0.93
 TARGET, PART, CENTROIDS, SAMPLE = 2500, 5000, 256, 40_000
 DEGREE, BEAM, ALPHA, WIDTH = 32, 64, 1.2, 4
 SLACK = 0.12
-AUDIT, RECALL = 200, 0.98
+AUDIT, AUDIT_MOST, LINKS, RECALL = 200, 12_800, 100, 0.98
+EXACT = 0  # the effort that compares without a graph
 
 
 def usable(v: Column) -> Column:
@@ -212,7 +216,7 @@ def _search(table: pa.Table, effort: int) -> pa.Table:
     x, many = unit(_matrix(table.column("v"))), table.column("many").to_numpy()
     shard, homes = table.column("shard")[0].as_py(), table.column("homes").to_pylist()
     base, query = np.flatnonzero(is_base), np.flatnonzero(~is_base)
-    graph = Graph(x[base], effort)
+    graph = Graph(x[base], max(effort, 1))
     place = {int(v): i for i, v in enumerate(node[base])}
     lists = [[place[y] for y in near if y in place] for near in (table.column("near")[int(i)].as_py() or [] for i in base)]
     width = max(map(len, lists), default=0)
@@ -225,7 +229,7 @@ def _search(table: pa.Table, effort: int) -> pa.Table:
     index = np.searchsorted(ids, node)
     for a in range(0, len(query), 256):
         rows = query[a : a + 256]
-        found = graph.in_range(x[rows].astype(np.float32), LEAST)
+        found = x[rows] @ x[base].T >= LEAST - 1e-6 if effort == EXACT else graph.in_range(x[rows].astype(np.float32), LEAST)
         r, c = np.nonzero(found)
         same = node[rows[r]] == node[base[c]]
         exact = np.einsum("ij,ij->i", x[rows[r]], x[base[c]]) >= LEAST
@@ -303,18 +307,33 @@ def _found(nodes: DataFrame, centroids: dict, overlap: int, effort: int) -> Data
     sharded = durable(_sharded(nodes, centroids, overlap))
     parts = sharded.groupBy(*where).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     sharded = sharded.join(parts, where).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    lists = sharded.select(*where, "part", "node", "v").groupBy(*where, "part").applyInArrow(lambda t: _build(t, effort), "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    base = sharded.join(united, "node").withColumns({"base": F.lit(True), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    if effort == EXACT:
+        listed = sharded.withColumn("near", F.array().cast("array<long>"))
+    else:
+        lists = sharded.select(*where, "part", "node", "v").groupBy(*where, "part").applyInArrow(lambda t: _build(t, effort), "node long, near array<long>")
+        listed = sharded.join(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "node")
+    base = listed.withColumns({"base": F.lit(True), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     query = sharded.withColumns({"base": F.lit(False), "near": F.lit(None).cast("array<long>"), "other": F.col("part"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     fields = [*where, "part", "other", "node", "v", "many", "homes", "near", "base"]
     both = base.select(*fields).unionByName(query.select(*fields))
     return durable(both.groupBy(*where, "part", "other").applyInArrow(lambda t: _search(t, effort), "node long, links long, root long"))
 
 
-def _recall(nodes: DataFrame, found: DataFrame) -> float:
-    """Share of the links of a bounded sample of nodes that were found."""
-    picked = sample_bounded(nodes, F.col("node"), AUDIT, 17).select("label", "node", "v").collect()
+def _recall(nodes: DataFrame, found: DataFrame) -> float | None:
+    """Share of the links of a bounded sample of nodes that were found; None if the largest sample holds too few to tell."""
+    audit, total = AUDIT, nodes.count()
+    while True:
+        true, got = _audited(nodes, found, audit)
+        if true >= LINKS or audit >= total:
+            return got / true if true else 1.0
+        if audit >= AUDIT_MOST:
+            return None
+        audit *= 4
+
+
+def _audited(nodes: DataFrame, found: DataFrame, most: int) -> tuple[int, int]:
+    """Links of about `most` nodes, and how many of them were found."""
+    picked = sample_bounded(nodes, F.col("node"), most, 17).select("label", "node", "v").collect()
     by_label: dict = {}
     for r in picked:
         by_label.setdefault(r.label, []).append((r.node, r.v))
@@ -336,7 +355,7 @@ def _recall(nodes: DataFrame, found: DataFrame) -> float:
     true = nodes.select("label", "node", "v", "many").mapInArrow(compare, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
     got = found.groupBy("node").agg(F.sum("links").alias("links"))
     r = true.join(got, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("g")).first()
-    return 1.0 if not r.t else r.g / r.t
+    return r.t or 0, r.g or 0
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", overlap: int = 2) -> DataFrame:
@@ -344,7 +363,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
     rows = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
-    rows = rows.withColumns({"label": F.concat_ws(":", F.size("v").cast("string"), "label"), "h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))})
+    rows = rows.withColumns({"label": F.concat_ws(":", F.size("v").cast("string"), "label"), **dict(zip(("h1", "h2"), hash_pair(F.col("v")), strict=True))})
     # a node is named by a hash of label and vector, its component by the least id in it
     nodes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("v").alias("v"))
     nodes = durable(nodes.withColumn("node", F.xxhash64("label", "h1", "h2")))
@@ -353,7 +372,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     effort = 1
     while True:
         found = _found(nodes, centroids, overlap, effort)
-        if _recall(nodes, found) >= RECALL or effort >= 8:
+        recall = _recall(nodes, found)
+        if recall is not None and recall >= RECALL:
+            break
+        if recall is None or effort >= 8:
+            found = _found(nodes, {}, 1, EXACT)
             break
         overlap, effort = (overlap * 2, effort) if overlap < most else (overlap, effort * 2)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

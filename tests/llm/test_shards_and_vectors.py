@@ -51,6 +51,13 @@ def test_few_cells_and_large_groups(docs, cells):
     assert len({r.shard for r in rows if r.doc_id >= 500}) == 1 and sum(loads.values()) == sum(len(t) + 1 for _, t in texts)
 
 
+def test_null_rows_of_one_id_are_apart(docs):
+    texts = [(7, None)] * 60 + [(None, None)] * 40 + [(i, "ab") for i in range(100, 101)]
+    rows = sharding.shard_bytes(docs(texts), 4, block_rows=10).collect()
+    loads = checked(rows, texts, 4)
+    assert max(loads.values()) - min(loads.values()) <= 3 and len({r.shard for r in rows if r.doc_id == 7}) == 4
+
+
 def test_no_documents_to_shard(docs):
     assert sharding.shard_bytes(docs([(1, "a")]).limit(0)).collect() == []
 
@@ -139,6 +146,26 @@ def test_several_shards_and_parts(spark, monkeypatch):
     assert found >= 0.97 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in want)
 
 
+@pytest.mark.parametrize(("audit", "recall"), [(8, 2.0), (1, 0.98)])
+def test_what_no_search_finds_is_compared_exactly(spark, monkeypatch, audit, recall):
+    # a recall that cannot be reached, and samples that hold too few links to tell
+    for name, value in (("PART", 40), ("AUDIT", audit), ("AUDIT_MOST", audit), ("LINKS", 10**9 if recall < 1 else 1), ("RECALL", recall)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors.Graph, "in_range", lambda self, q, least: np.zeros((len(q), len(self.x)), bool))
+    rows = [(i, v, i % 2) for i, v in enumerate(crowd(4, 10, 12, 0.2))]
+    want = dict(zip([i for i, _, _ in rows], brute(rows), strict=True))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in compared(spark, rows)} == want
+
+
+def test_more_large_labels_than_centroids_are_fitted_for(spark, monkeypatch):
+    for name, value in (("TARGET", 20), ("PART", 25), ("SAMPLE", 128)):
+        monkeypatch.setattr(vectors, name, value)
+    rows = [(i, v, i % 5) for i, v in enumerate(crowd(6, 15, 12, 0.2))]
+    want = dict(zip([i for i, _, _ in rows], brute(rows), strict=True))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in compared(spark, rows)}
+    assert sum(g[0] for g in got.values()) >= 0.97 * sum(w[0] for w in want.values())
+
+
 def test_repeated_ids_and_no_vectors(spark):
     got = compared(spark, [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [0.0, 1.0], 0)])
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (None, 0, None)]
