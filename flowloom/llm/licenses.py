@@ -57,6 +57,26 @@ SENTENCES = {
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "apache2-to-you": "licensed to the apache software foundation asf under one or more contributor license agreements",
+    "apache2-asf": "the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache2-short": "apache license version 2 0",
+    "lgpl21-or-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-or-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl3-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "epl1": "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "distributed under the boost software license version 1 0",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "cc-by-sa-4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
 }
 
 # Licence and the ordered sentences that show it.
@@ -82,16 +102,39 @@ RULES = [
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl2", "mpl2-copy")),
     ("MPL-2.0", ("mpl2",)),
+    ("Apache-2.0", ("apache2-to-you", "apache2-asf", "apache2-obtain", "apache2-as-is", "apache2-see")),
+    ("Apache-2.0", ("apache2-asf",)),
+    ("Apache-2.0", ("apache2-short",)),
+    ("LGPL-2.1-or-later", ("lgpl21-or-later", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-or-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-or-later", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-or-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-or-later", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-or-later",)),
+    ("GPL-2.0", ("gpl2-only", "gpl-hope", "gpl-details")),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("EPL-2.0", ("epl2",)),
+    ("EPL-1.0", ("epl1",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("boost",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
 ]
 
 #: a word of one of these stems is in every known sentence, and makes an unknown one look like licence text
-STEMS = ("licen", "permission", "copyright", "warrant", "redistribut", "cc by", "cc0", "liable", "endorse")
+STEMS = ("licen", "permission", "copyright", "warrant", "redistribut", "cc by", "cc0", "liable", "endorse", "mpl", "public domain")
 GAP = 2
 
+_RULES_OF = {name: [r for r in RULES if r[1][0] == name] for name in SENTENCES}
+_REACH = max(len(rule) for _, rule in RULES) * (GAP + 1)
 _BY_TEXT = {text: name for name, text in SENTENCES.items()}
 _BEGINNINGS = {" ".join(w[:n]) for w in map(str.split, _BY_TEXT) for n in range(1, len(w) + 1)}
-_LIKELY = re.compile("licen|permission|copyright|warrant|redistribut|cc.{0,3}by|cc0|liable|endorse", re.IGNORECASE | re.DOTALL)
+_LIKELY = re.compile("licen|permission|copyright|warrant|redistribut|cc.{0,3}by|cc0|liable|endorse|mpl|public domain", re.IGNORECASE | re.DOTALL)
 _END = re.compile(r"[.:;!?](?=\s|$)|\n[^\S\n]*\n")
 _OTHER = re.compile(r"[\W_]+")
 
@@ -133,8 +176,8 @@ def sentence_ids(text: str | None) -> tuple[list[str], int]:
 def match(ids: list[str]) -> list[str]:
     """Licences whose rules the sequence fulfils, by the place where they begin."""
     spans = []
-    for licence, rule in RULES:
-        for first in (i for i, x in enumerate(ids) if x == rule[0]):
+    for first, begins in enumerate(ids):
+        for licence, rule in _RULES_OF.get(begins, ()):
             at = first
             for want in rule[1:]:
                 at = next((j for j in range(at + 1, min(at + 2 + GAP, len(ids))) if ids[j] == want), None)
@@ -142,7 +185,12 @@ def match(ids: list[str]) -> list[str]:
                     break
             if at is not None:
                 spans.append((first, at, licence, len(rule)))
-    best = [s for s in spans if not any(t[0] <= s[0] and s[1] <= t[1] and t[3] > s[3] for t in spans)]
+    # a span that begins no later and ends no earlier holds another; rules are short, so it begins at most a rule's reach before
+    by_start: dict[int, list] = {}
+    for s in spans:
+        by_start.setdefault(s[0], []).append(s)
+    around = lambda s: (t for a in range(max(0, s[0] - _REACH), s[0] + 1) for t in by_start.get(a, ()))
+    best = [s for s in spans if not any(s[1] <= t[1] and t[3] > s[3] for t in around(s))]
     return list(dict.fromkeys(licence for _, _, licence, _ in sorted(best, key=lambda s: (s[0], -s[3], s[2]))))
 
 
