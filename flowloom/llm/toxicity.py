@@ -1,29 +1,35 @@
-"""Toxicity scores from compression distance with two zstandard dictionaries.
-
-Learning, on a bounded sample of labelled rows (at most ``per_class`` texts of each label, each of
-at most ``fit_bytes`` bytes; both are parameters):
-
-* the ordinary dictionary is trained on windows of ordinary texts;
-* the toxic dictionary is trained on toxic texts, on what is left of them without the words that
-  ordinary texts use as often. It follows the ordinary content, which the other compressor has
-  with as many zeros behind it, so the two differ only in the toxic segments that they can refer
-  to, and the difference of the two lengths of a window is what these segments save.
-
-Scoring cuts every whole text into windows of about ``window`` bytes that end between words,
-compresses each with both dictionaries, and sums up the lengths saved per text: the largest saving,
-the total and the mean, and the number and share of windows that save ``least`` bytes or more. A logistic function calibrated on
-half of the sample that the dictionaries were not trained on turns these into a probability; it is
-placed so that 0.7 is the threshold that finds most toxic texts there while at most ``false_share``
-of the ordinary ones pass it.
-
-Defined results: a null or empty text saves nothing and gets the score of such texts. If the sample
+"""Toxicity scores from compression distance with zstandard dictionaries.
+
+Learning, on a bounded sample of the labelled rows (parameters: at most ``per_class`` texts of each
+label, of each at most ``fit_bytes`` bytes, as windows drawn evenly from all over it; texts of any
+length are eligible):
+
+* a base dictionary is trained on windows of ordinary texts; it stands before both others, so that
+  what all texts have in common costs them the same;
+* an ordinary and a toxic dictionary are trained on windows of texts of their label, both of the
+  same size and with the same parameters. Most windows of a toxic text are ordinary, so a second
+  pass trains each of them again on the windows that matter: of toxic texts those that a toxic
+  dictionary of other texts saves most in, of ordinary texts those that it wrongly saves most in
+  (and the ones of the first pass), so that the ordinary one knows what both labels share;
+* there are ``PAIRS`` such pairs, from different shuffles: what one dictionary holds by chance, the
+  others do not.
+
+Scoring cuts every whole text into windows of about ``WINDOW`` bytes that end between words and
+compresses each with all dictionaries. Of a window three differences are taken (mean ordinary length
+less mean toxic length, least ordinary less mean toxic, least ordinary less greatest toxic), and of
+these over the text the greatest, the sum of squares of the positive ones, and that by the root of the
+number of windows. A logistic function turns them into a probability. It is calibrated on whole
+texts that the dictionaries were not trained on (half of the sample), and placed so that 0.7 is the
+threshold that finds most toxic texts there while at most ``false_share`` of the ordinary ones pass it.
+
+Defined results: a null or empty text has no windows and gets the score of such texts. If the sample
 lacks a class, every score is that of the only class (0 without labels). The labels table may hold
 repeated ids (toxic if any row says so), nulls (left out) and other columns.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +43,19 @@ from .textbytes import LOWER, NOT_SPACE, column_bytes, release
 LEVEL = 9
 WINDOW = 64
 THRESHOLD = 0.7
-FEATURES = 6
+PAIRS = 3
+BASE_BYTES, PAIR_BYTES = 32 << 10, 4 << 10
+SURE, ENOUGH = 0.02, 256  # share of windows that the second pass trains on, and a number that few texts give more than this share of
+FEATURES = 10
 
 
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    least: float
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    base: bytes = b""
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
     constant: float | None = None
 
 
@@ -69,23 +77,38 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tuple[
     return start, end, text
 
 
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def lengths(with_: zstandard.ZstdCompressor, pieces: list[bytes]) -> np.ndarray:
+    compress = with_.compress
+    return np.fromiter((len(compress(x)) for x in pieces), np.float64, len(pieces))
+
+
 class Scorer:
-    """Both compressors, made once per process."""
+    """The compressors, made once per process."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.both = []
-        for content in (model.ordinary + bytes(len(model.toxic)), model.ordinary + model.toxic):
-            held = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.ordinary, self.toxic = ([compressor(model.base + x) for x in side] for side in zip(*model.pairs, strict=True)) if model.pairs else ([], [])
 
-    def savings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         start, end, text = windows(data, offsets)
         raw = LOWER[data].tobytes()
-        ordinary, toxic = (x.compress for x in self.both)
-        saved = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True))), np.float64, len(start))
-        return saved, text
+        pieces = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        n = len(offsets) - 1
+        count = np.bincount(text, minlength=n)
+        out = [np.log1p(count)]
+        ordinary, toxic = (np.stack([lengths(c, pieces) for c in side]) for side in (self.ordinary, self.toxic))
+        for saved in (ordinary.mean(axis=0) - toxic.mean(axis=0), ordinary.min(axis=0) - toxic.mean(axis=0), ordinary.min(axis=0) - toxic.max(axis=0)):
+            most = np.full(n, -float(WINDOW))
+            np.maximum.at(most, text, saved)
+            squares = np.bincount(text, np.maximum(saved, 0) ** 2, n)
+            out += [np.where(count > 0, most, 0), np.log1p(squares), squares / np.sqrt(count + 3)]
+        return np.stack(out, axis=1)
 
     def features(self, column) -> np.ndarray:
         data, offsets = column_bytes(column)
@@ -94,13 +117,7 @@ class Scorer:
         at = 0
         while at < n:  # texts of about 1 MB at a time, so that the windows held are few
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1)
-            saved, text = self.savings(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            most = np.zeros(to - at)
-            np.maximum.at(most, text, saved)
-            strong = saved >= self.model.least
-            pieces = np.bincount(text, minlength=to - at)
-            total, many = np.bincount(text, saved, to - at), np.bincount(text, strong, to - at)
-            out[at:to] = np.stack([most, np.log1p(np.maximum(total, 0)), total / np.maximum(pieces, 1), np.log1p(many), many / np.maximum(pieces, 1), np.log1p(pieces)], axis=1)
+            out[at:to] = self._of_texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
         release()
         return out
@@ -112,51 +129,37 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.model.weights[:-1] + self.model.weights[-1], -30, 30)))
 
 
-def _unlike(texts: list[bytes]) -> list[bytes]:
-    """Those of the texts that share fewer than a third of their four-word runs with the ones before them."""
-    seen: set[int] = set()
-    kept = []
-    for t in texts:
-        w = t.split()
-        runs = {hash(tuple(w[i : i + 4])) for i in range(max(len(w) - 3, 1))}
-        if len(runs & seen) < len(runs) / 3:
-            kept.append(t)
-        seen |= runs
-    return kept
-
-
-def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> tuple[list[bytes], bytes]:
-    """What is left of toxic texts without the words that ordinary ones use about as often.
-
-    A word is counted by the texts that hold it, near copies left out.
-    """
-
-    def used(texts):
-        count: dict[bytes, int] = {}
-        for t in texts:
-            for w in set(t.split()):
-                count[w] = count.get(w, 0) + 1
-        return count
-
-    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
-    a, b = used(toxic), used(ordinary)
-    share = len(toxic) / max(len(ordinary), 1)
-    own = set()
-    for w, n in a.items():
-        expected = (b.get(w, 0) + 0.5) * share
-        if n >= max(4, 0.03 * len(toxic)) and n > 4 * expected + 4 * expected**0.5:
-            own.add(w)
-    left = [b" " + b" ".join(w for w in t.split() if w in own) + b" " for t in toxic]
-    ranked = sorted(own, key=lambda w: (a[w], w))
-    return [x for x in left if len(x) > 2], b"".join(b" " + w + b" " for w in ranked)
-
-
-def _train_dictionary(samples: list[bytes], size: int, otherwise: bytes) -> bytes:
-    """The content of a trained dictionary; plain sample text where there is too little to train on."""
+def _trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """The content of a trained dictionary, filled up to its size; plain sample text where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8, f=20, accel=1, steps=1).as_bytes()
+        content = zstandard.train_dictionary(size, samples, k=k, d=8, f=20, accel=1, steps=1).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return otherwise[-size:]
+        content = b"".join(samples)[-size:]
+    return content.rjust(size, b"\0")
+
+
+def _pair(base: bytes, ordinary: list[list[bytes]], toxic: list[list[bytes]], seed: int) -> tuple[bytes, bytes]:
+    """An ordinary and a toxic dictionary from windows of texts, in two passes; each half of the texts is judged by dictionaries of the other half."""
+    rng = np.random.default_rng(seed)
+    halves = lambda texts, order: [[w for i in order[f::2] for w in texts[i]] for f in (0, 1)]
+    split = [halves(x, rng.permutation(len(x))) for x in (ordinary, toxic)]
+    plain = compressor(base)
+    rate = lambda ws: lengths(plain, ws) / np.maximum([len(w) for w in ws], 16) if ws else np.zeros(0)
+    rates = [[rate(ws) for ws in side] for side in split]
+    rare = np.quantile(rates[0][0], 0.9) if len(rates[0][0]) else 0.0
+    # first pass: windows that the base compresses badly
+    first = [[[w for w, r in zip(ws, rs, strict=True) if r >= rare] for ws, rs in zip(side, of, strict=True)] for side, of in zip(split, rates, strict=True)]
+    second: list[list[bytes]] = [[], []]
+    for f in (0, 1):
+        both = [compressor(base + _trained(side[1 - f], PAIR_BYTES, 12)) for side in first]
+        for side in (0, 1):
+            ws = split[side][f]
+            saved = lengths(both[0], ws) - lengths(both[1], ws)
+            share = min(0.25, max(SURE, ENOUGH / max(len(ws), 1)))
+            least = np.quantile(saved, 1 - share) if len(saved) else 0.0
+            second[side] += [w for w, s in zip(ws, saved, strict=True) if s >= least]
+        second[0] += first[0][f]
+    return _trained(second[0], PAIR_BYTES, 12), _trained(second[1], PAIR_BYTES, 12)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -173,48 +176,82 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w
 
 
-def fit_texts(toxic: list[bytes], ordinary: list[bytes], dictionary: int = 32 << 10, false_share: float = 0.015) -> Model:
-    flat = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
-    if not toxic or not ordinary:
-        return Model(b"", b"", 0.0, *flat, constant=1.0 if toxic else 0.0)
-    half = lambda x, k: x[k::2] or x
-    samples = [t[i : i + 2048] for t in half(ordinary, 0) for i in range(0, len(t), 2048)][:20_000]
-    base = _train_dictionary(samples, dictionary, b"".join(samples))
-    left, content = _distinctive(half(toxic, 0), half(ordinary, 0))
-    segments = _train_dictionary(left, dictionary // 16, b"") if len(left) >= 8 else b""
-    model = Model(base, segments + content[-dictionary // 4 :], 0.0, *flat)
-    scorer = Scorer(model)
-    y = np.array([1.0] * len(half(toxic, 1)) + [0.0] * len(half(ordinary, 1)))
-    column = pa.array(half(toxic, 1) + half(ordinary, 1), pa.binary()).cast(pa.large_binary()).view(pa.large_string())
-    data, offsets = column_bytes(column)
-    saved, text = scorer.savings(data, offsets)
-    # a window counts from the saving that few ordinary windows reach
-    model.least = max(2.0, float(np.quantile(saved[y[text] == 0], 0.99)) + 1) if (y[text] == 0).any() else 2.0
-    x = scorer.features(column)
+def fit_windows(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+    """The dictionaries, from the windows of each text."""
+    base = _trained([b"".join(t[i : i + 32]) for t in ordinary[::2] for i in range(0, len(t), 32)], BASE_BYTES, 64)
+    rest = ordinary[1::2] or ordinary
+    return Model(base, [_pair(base, rest, toxic, seed) for seed in range(PAIRS)])
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, false_share: float = 0.015) -> None:
+    """The logistic function from features of texts that the dictionaries have not seen."""
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    model.weights = _logistic((x - model.mean) / model.scale, y)
+    model.weights = _logistic((x - model.mean) / model.scale, y, ridge=max(1e-2, 20 / len(y)))  # few texts: smaller weights
     margin = (x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
     order = np.unique(margin)
     cuts = np.append((order[1:] + order[:-1]) / 2, order[-1] + 1)
-    cut = next(c for c in cuts if (margin[y == 0] >= c).mean() <= false_share)
+    plain = margin[y == 0]
+    # of few texts the greatest says little: at least where a normal distribution has 0.015 beyond it
+    cut = max(next(c for c in cuts if (plain >= c).mean() <= false_share), plain.mean() + 2.17 * plain.std() if len(plain) < 200 else -np.inf)
     model.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, fit_bytes: int = 1 << 15) -> Model:
+def excerpt(column, most: int) -> pa.Array:
+    """Windows of each text, lower-cased, evenly from all over it, of about `most` bytes in all."""
+    data, offsets = column_bytes(column)
+    start, end, text = windows(data, offsets)
+    raw = LOWER[data].tobytes()
+    first = np.searchsorted(text, np.arange(len(offsets)))
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        limit = max(1, most // WINDOW)
+        at = range(a, b) if b - a <= limit else (a + np.arange(limit) * (b - a) // limit).tolist()
+        out.append([raw[start[i] : end[i]] for i in at])
+    release()
+    return pa.array(out, pa.list_(pa.binary()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, fit_bytes: int = 1 << 14) -> Model:
     """Learn from a bounded sample of the labelled rows of docs."""
+    spark = docs.sparkSession
+    small_batches(spark)
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna().groupBy("key").agg(F.max("label").alias("label"))
-    ids = docs.select(F.col(key).alias("key"), F.octet_length(F.col(text)).alias("size")).where("size > 0").where(F.col("size") <= fit_bytes).select("key")
+    ids = docs.where(F.octet_length(F.col(text)) > 0).select(F.col(key).alias("key"))
     known = marked.join(ids.distinct(), "key").persist()
     try:
         picked = [sample_bounded(known.where(F.col("label") == k), F.col("key"), per_class, 7).collect() for k in (1, 0)]
     finally:
         known.unpersist()
-    chosen = docs.sparkSession.createDataFrame([(r.key, r.label) for rows in picked for r in rows], "key long, label int")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").where(F.octet_length("text") <= fit_bytes)
-    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("key"), "key").collect()
-    fold = lambda t: LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes()
-    return fit_texts(*([fold(r.text) for r in rows if r.label == k] for k in (1, 0)))
+    if not all(picked):
+        return Model(constant=1.0 if picked[0] else 0.0)
+    # every second one, in a fixed order, is kept apart for calibration
+    order = lambda rows: sorted((r.key for r in rows), key=lambda x: (x * 2654435761 % (1 << 32), x))
+    fold = {x: (k, int(i % 2) if len(rows) > 1 else 2) for k, rows in zip((1, 0), picked, strict=True) for i, x in enumerate(order(rows))}
+    chosen = F.broadcast(spark.createDataFrame([(x, k, f) for x, (k, f) in fold.items()], "key long, label int, fold int"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") > 0).join(chosen, "key")
+
+    @F.arrow_udf("array<binary>")
+    def drawn(column: pa.Array) -> pa.Array:
+        return excerpt(column, fit_bytes)
+
+    # rows that repeat an id count once, by the least hash of their text
+    texts = rows.where("fold <> 1").select("key", "label", F.xxhash64("text").alias("h"), drawn("text").alias("w")).groupBy("key", "label").agg(F.min_by("w", "h").alias("w")).collect()
+    texts = sorted(texts, key=lambda r: r.key)
+    model = fit_windows(*([[bytes(w) for w in r.w] for r in texts if r.label == k] for k in (1, 0)))
+    shared = spark.sparkContext.broadcast(model)
+    held: list[Scorer] = []
+
+    @F.arrow_udf("array<double>")
+    def features(column: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Scorer(shared.value))
+        x = held[0].features(column)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.ravel()))
+
+    apart = rows.where("fold <> 0").select("key", "label", F.xxhash64("text").alias("h"), features("text").alias("x")).groupBy("key", "label").agg(F.min_by("x", "h").alias("x")).collect()
+    apart = sorted(apart, key=lambda r: r.key)
+    calibrate(model, np.array([r.x for r in apart]), np.array([float(r.label) for r in apart]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:

@@ -135,6 +135,46 @@ def test_all_licences_of_lines_without_stops():
     assert licenses.sentence_ids("A strange license\nLicensed under CC BY 4.0. Another strange license.") == (["cc-by-4"], 1)
 
 
+def matched_plainly(ids):
+    """All spans of all rules, and those that no longer rule's span holds."""
+    spans = []
+    for licence, rule in licenses.RULES:
+        for i in range(len(ids)):
+            at = [i] if ids[i] == rule[0] else []
+            for want in rule[1:] if at else ():
+                nearer = [j for j in range(at[-1] + 1, len(ids)) if ids[j] == want and j - at[-1] <= licenses.GAP + 1]
+                if not nearer:
+                    at = []
+                    break
+                at.append(nearer[0])
+            if at:
+                spans.append((at[0], at[-1], licence, len(rule)))
+    best = sorted((s for s in spans if not any(t[0] <= s[0] and s[1] <= t[1] and t[3] > s[3] for t in spans)), key=lambda s: (s[0], -s[3], s[2]))
+    return list(dict.fromkeys(s[2] for s in best))
+
+
+def test_rules_equal_a_plain_search():
+    r = random.Random(11)
+    names = list(licenses.SENTENCES)
+    for _ in range(400):
+        rule = r.choice(licenses.RULES)[1]
+        ids = [x for name in rule for x in [name] + [r.choice(names)] * r.choice([0, 0, 0, 1, 3])] + r.choices(names, k=r.randint(0, 5))
+        assert licenses.match(ids) == matched_plainly(ids)
+
+
+def test_a_very_long_text_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = "\n".join(f"some license line {i} without a stop" for i in range(n)) + "\nReleased under the MIT License\n" * n
+        began = time.perf_counter()
+        ids, _ = licenses.sentence_ids(text)
+        assert licenses.match(ids) == ["MIT"] and len(ids) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_every_known_sentence_is_looked_at():
     for name, text in licenses.SENTENCES.items():
         assert licenses.sentence_ids(text.upper() + ".")[0] == [name]
@@ -208,6 +248,116 @@ def test_toxicity_without_both_classes(spark, docs):
         assert {x[at] for x in scored.collect()} == {want}
 
 
+def test_toxicity_equals_plain_scoring_of_the_model(spark, docs):
+    """Window by window with the library, from the fitted dictionaries and weights."""
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(5)
+    plain = lambda n: " ".join("".join(r.choice(["an", "er", "th", "on"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, plain(60) + (" horrid nasty fool " + plain(9) if i % 3 == 0 else "")) for i in range(240)]
+    model = toxicity.fit(docs(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int"))
+    texts = [rows[0][1], rows[1][1], "", "x" * 500, rows[3][1] * 30]
+
+    def plainly(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        cuts = [0]
+        for k in range(1, -(-len(raw) // 64)):
+            gaps = [g for g in range(k * 64 - 31, k * 64 + 1) if raw[g : g + 1] in (b" ", b"\n", b"\t")]
+            cuts.append(gaps[-1] if gaps else k * 64)
+        ws = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if raw else []
+        size = lambda content, w: len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(model.base + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+        pairs = [([size(o, w) for o, _ in model.pairs], [size(t, w) for _, t in model.pairs]) for w in ws]
+        x = [np.log1p(len(ws))]
+        for saved in ([np.mean(o) - np.mean(t) for o, t in pairs], [min(o) - np.mean(t) for o, t in pairs], [min(o) - max(t) for o, t in pairs]):
+            squares = sum(max(v, 0) ** 2 for v in saved)
+            x += [max(saved, default=0), np.log1p(squares), squares / np.sqrt(len(ws) + 3)]
+        z = ((np.array(x) - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    got = toxicity.Scorer(model).probability(pa.array(texts))
+    assert got == pytest.approx([plainly(t) for t in texts], abs=0.02)
+
+
+def test_all_lengths_of_text_are_fitted_on(spark, docs):
+    r = random.Random(6)
+    plain = lambda n: " ".join("".join(r.choice(["an", "er", "th", "on"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    # all toxic texts are long, and the toxic words stand at their ends
+    rows = [(i, plain(5000) + " horrid nasty fool" * 20 if i % 3 == 0 else plain(60)) for i in range(60)]
+    model = toxicity.fit(docs(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    assert model.constant is None and len(model.pairs) == toxicity.PAIRS and all(len(x) == toxicity.PAIR_BYTES for p in model.pairs for x in p)
+    import pyarrow as pa
+
+    drawn = toxicity.excerpt(pa.array([rows[0][1], None, "", "short"]), 640).to_pylist()
+    assert len(drawn[0]) == 10 and drawn[1:] == [[], [], [b"short"]] and rows[0][1].encode().find(drawn[0][-1]) > 0.8 * len(rows[0][1])
+
+
+def test_languages_equal_plain_scoring_of_the_model(docs):
+    import pyarrow as pa
+
+    model = langid.fit(learnt(docs))
+    mask = 2**64 - 1
+
+    def plainly(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        folded = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw)
+        grams = [folded[i : i + 4] for i in range(len(folded) - 3) if folded[i : i + 4].count(b" ") <= 1]
+        bits = int(np.log2(len(model.planes[0])))
+        hits = [0.0] * len(model.langs)
+        for g in grams:
+            code = int.from_bytes(g, "little")
+            slots = [(code * m & mask) >> (64 - bits) for m in langid._MULTIPLIERS]
+            for k in range(len(hits)):
+                hits[k] += all(model.planes[k // 8][s] >> (k % 8) & 1 for s in slots)
+        fixed = [max(0.0, (h - len(grams) * f) / max(1e-9, 1 - f)) for h, f in zip(hits, model.false_rate, strict=True)]
+        best = max(range(len(fixed)), key=lambda k: (fixed[k], -k))
+        return (model.langs[best], min(1.0, fixed[best] / max(len(grams), 1))) if any(c.isalpha() for c in text) else ("und", 0.0)
+
+    texts = [EN, FR, EN + FR * 2, "a", "12 !", "", "漢字 thé", "ÀÉÎ le chat", EN * 40]
+    got, score = langid.predict_batch(model, pa.array(texts))
+    want = [plainly(t) for t in texts]
+    assert got == [w[0] for w in want] and score == pytest.approx([w[1] for w in want])
+
+
+def test_quality_equals_plain_scoring_of_the_model(spark, docs):
+    import math
+    import re
+
+    labels = spark.createDataFrame([(100 + i, int(i % 2)) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs([(100 + i, EN * (4 + i % 7) if i % 2 else "!! XX ## " * (15 + i)) for i in range(40)]), labels)
+    rows = [(1, EN * 3, "en", "s", 90), (2, "## QQ !! 12\n\nNew line, é", None, "t", None), (3, "", "fr", None, 0), (4, None, "en", "s", 5), (5, "aa aa bb", "zz", "s", -3)]
+
+    def logit(view, x):
+        z = [min(6.0, max(-6.0, (a - m) / s)) for a, m, s in zip(x, view.mean, view.scale, strict=True)]
+        return view.slope * (sum(a * w for a, w in zip(z, view.weights[:-1], strict=True)) + view.weights[-1]) + view.shift
+
+    def shape(text):
+        raw = (text or "").encode()
+        n, one = len(raw), max(len(raw), 1)
+        count = lambda keep: sum(map(keep, raw))
+        upper, lower, digit = count(lambda b: 65 <= b <= 90), count(lambda b: 97 <= b <= 122), count(lambda b: 48 <= b <= 57)
+        space, newline, stop = count(lambda b: b == 32 or 9 <= b <= 13), raw.count(b"\n"), count(lambda b: b in b".,;:?'\"-()")
+        symbol = count(lambda b: 33 <= b < 127) - upper - lower - digit - stop
+        w = [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+        k = max(len(w), 1)
+        return [
+            math.log1p(n), upper / max(upper + lower, 1), digit / one, space / one, newline / one * 20, stop / one, symbol / one, count(lambda b: b >= 128) / one, min(sum(map(len, w)) / k, 40) / 10,
+            min(symbol / k, 4), len(set(w)) / k**0.75, sum(a == b for a, b in zip(w, w[1:], strict=False)) / k, stop / k, min(n / (newline + 1), 2000) / 1000,
+        ]
+
+    def plainly(text, lang, source, n_chars):
+        length = -1 if n_chars is None else max(n_chars, 0)
+        size = math.log1p(max(length, 0))
+        rate = lambda kind, v: model.rates[kind].get(v, model.rates[""])
+        t, p = logit(model.text, shape(text)), logit(model.page, [size, float(length < 0), size**2 / 10, rate("lang", lang), rate("source", source)])
+        return [1 / (1 + math.exp(-z)) for z in (t, p, t * model.blend[0] + p * model.blend[1] + model.blend[2])]
+
+    judged, at = quality.score(docs(rows), model)
+    for r in judged.collect():
+        want = plainly(*next(x[1:] for x in rows if x[0] == r.doc_id))
+        assert list(r[at]) == pytest.approx(want, abs=1e-9)
+
+
 def test_windows_cover_every_byte():
     import pyarrow as pa
 
