@@ -9,7 +9,14 @@
 5. SentencePiece: what is left is encoded; one row for each document, with its ids.
 
 Language and quality models are learnt from the documents that reach the stage. Every stage but the
-last returns the columns that it got.
+last returns the columns that it got. `run` writes each stage's result as Parquet in the shared folder
+and reads it again, so no stage runs twice for what the next ones read.
+
+Defined results: null and empty texts have no language, so stage 1 drops them; a table without rows
+gives none; null ids stay through stages 1, 2 and 4, and in 3 each row without id stays; null language,
+source or length are values of their own for stage 2; without quality labels of both classes stage 2
+keeps all or none, as the only class says; equal rows of one id are one row after stage 3; other columns,
+whatever their names, are carried to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import decontam, langid, minhash, pieces, quality
-from flowloom.llm.common import table
+from flowloom.llm.common import table, written
 from flowloom.llm.queries import PIECE_MODEL
 
 LEAST_LANGUAGE = 0.4
@@ -61,6 +68,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
