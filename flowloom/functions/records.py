@@ -17,11 +17,27 @@ def is_aggregated(version: Column, flows_reported: Column) -> Column:
     return (version == "netflow_v8") | F.coalesce(flows_reported, F.lit(False))
 
 
-def corrected(count: Column, rate: Column) -> Column:
-    """count times the sampling rate (0: unsampled), at most 2**64 - 1. NULL stays NULL.
+def halves(count: Column, rate: Column) -> tuple[Column, Column]:
+    """count times the sampling rate (0: unsampled), at most 2**64 - 1, as its upper and lower 32 bits; NULL counts as 0.
 
-    A count held as a 64-bit integer stays one while the product fits; DECIMAL counts are exact throughout."""
-    return count * F.greatest(rate, F.lit(1))
+    Products that fit 63 bits, which are nearly all, are whole numbers throughout; DECIMAL is for the others alone."""
+    fast = F.try_multiply(count.try_cast("long"), F.greatest(rate, F.lit(1)))
+    exact = corrected_exact(count, rate)
+    upper = F.floor(exact / F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
+    lower = (exact - upper.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
+    return tuple(F.when(fast.isNotNull(), a).otherwise(F.coalesce(b, F.lit(0).cast("long"))) for a, b in ((F.shiftright(fast, 32), upper), (fast.bitwiseAND(F.lit((1 << 32) - 1)), lower)))
+
+
+def saturated(upper: Column, lower: Column, kind: str = "decimal(20,0)") -> Column:
+    """The number whose halves add up to these, at most 2**64 - 1, or 2**63 - 1 where a table holds it as LONG."""
+    whole = upper.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + lower.cast("decimal(38,0)")
+    return F.least(whole, F.lit(str(U64 if kind != "bigint" else (1 << 63) - 1)).cast("decimal(38,0)")).cast(kind)
+
+
+def total(count: Column, rate: Column, kind: str = "decimal(20,0)") -> Column:
+    """Sum of corrected counts that stops at its type's greatest value instead of failing."""
+    upper, lower = halves(count, rate)
+    return saturated(F.sum(upper), F.sum(lower), kind)
 
 
 def corrected_exact(count: Column, rate: Column) -> Column:

@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.fixed import SERVICES, TCP
-from ..functions.records import corrected, is_aggregated
+from ..functions.records import is_aggregated, total
 
 MEASURES = ["bytes", "packets", "flows", "bytes_measured", "packets_measured", "born", "last_seen"]
 
 
 def measures(df: DataFrame) -> list[Column]:
-    """Corrected bytes and packets, flows; whether every record had the count; first and last arrival."""
+    """Corrected bytes and packets, flows, all of which stop at their type's greatest value; whether every record had the count; first and last arrival."""
     seen = F.col("recv_ts") if "recv_ts" in df.columns else F.col("arrival_seq")
-    size = lambda c: F.sum(F.coalesce(corrected(F.col(c), F.col("sampling_rate")), F.lit(0)))
+    size = lambda c, rate: total(F.col(c), rate, df.schema[c].dataType.simpleString())
+    rate = F.col("sampling_rate")
     return [
-        size("bytes").alias("bytes"), size("packets").alias("packets"), F.sum("flows").alias("flows"),
+        size("bytes", rate).alias("bytes"), size("packets", rate).alias("packets"), size("flows", F.lit(1)).alias("flows"),
         F.bool_and(F.col("bytes").isNotNull()).alias("bytes_measured"), F.bool_and(F.col("packets").isNotNull()).alias("packets_measured"),
         F.min("arrival_seq").alias("born"), F.max(seen).alias("last_seen"),
     ]
@@ -55,7 +56,9 @@ def _both(a: str, b: str) -> Callable[[], Column]:
     return lambda: F.col(a).isNotNull() & F.col(b).isNotNull()
 
 
-_ADDRESS = {"src_ip": labels.ipv4, "dst_ip": labels.ipv4, "address": labels.ipv4}
+#: labels that depend on the column's type
+ADDRESSES = ("src_ip", "dst_ip", "address")
+_ADDRESS: dict = {}
 
 BREAKDOWNS = {
     b.name: b
@@ -102,8 +105,8 @@ def with_flagged_sides(flows: DataFrame) -> DataFrame:
     return flows.withColumn("side", F.explode(sides)).withColumns({"address": F.col("side.address"), "endpoint": F.col("side.endpoint")}).drop("side")
 
 
-def breakdown(flows: DataFrame, name: str, mapped: list[tuple[int, int, str]] = ()) -> DataFrame:
-    """One breakdown's keys and measures."""
+def breakdown(flows: DataFrame, name: str, mapped: list[tuple[int, int, str]] = (), by: dict[str, Column] | None = None) -> DataFrame:
+    """One breakdown's keys and measures; `by` adds keys, such as the window of a record."""
     b = BREAKDOWNS[name]
     if not b.takes_aggregated:
         flows = flows.where(~is_aggregated(F.col("version"), F.col("flows_reported")))
@@ -111,7 +114,7 @@ def breakdown(flows: DataFrame, name: str, mapped: list[tuple[int, int, str]] =
         flows = with_service_port(flows, mapped)
     if name == "threats":
         flows = with_flagged_sides(flows)
-    return flows.where(b.admit()).groupBy(*[k().alias(n) for n, k in b.keys.items()]).agg(*measures(flows))
+    return flows.where(b.admit()).groupBy(*[k().alias(n) for n, k in b.keys.items()], *[c.alias(n) for n, c in (by or {}).items()]).agg(*measures(flows))
 
 
 def bounded(entries: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +125,7 @@ def bounded(entries: DataFrame, keys: list[str], most: int) -> tuple[DataFrame,
     last = entries.select(order.alias("o")).orderBy("o").limit(most).agg(F.max("o").alias("o"), F.count("*").alias("n"))
     edge = last.select(F.when(F.col("n") >= most, F.col("o")).alias("edge"))
     marked = entries.withColumn("fold", F.coalesce(order > edge.scalar(), F.lit(False)))
-    other = marked.agg(*[F.coalesce(F.sum(F.when(F.col("fold"), F.col(c))), F.lit(0)).alias(c) for c in ("bytes", "packets", "flows")])
+    other = marked.agg(*[F.coalesce(total(F.when(F.col("fold"), F.col(c)), F.lit(1), marked.schema[c].dataType.simpleString()), F.lit(0)).alias(c) for c in ("bytes", "packets", "flows")])
     return marked.where(~F.col("fold")).drop("fold"), other
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.records import corrected, is_aggregated
+from ..functions.records import is_aggregated
 
 SCHEMA_FACTOR = 8
 MOST_BUCKETS = 200
@@ -27,7 +27,7 @@ def _plain(flows: DataFrame) -> DataFrame:
 
 def sizes(flows: DataFrame) -> DataFrame:
     """exporter, value: corrected bytes of flows that reported them."""
-    return _plain(flows).where("bytes is not null").select("exporter", corrected(F.col("bytes"), F.col("sampling_rate")).cast("double").alias("value"))
+    return _plain(flows).where("bytes is not null").select("exporter", (F.col("bytes").cast("double") * F.greatest("sampling_rate", F.lit(1))).alias("value"))
 
 
 def durations(flows: DataFrame) -> DataFrame:
@@ -45,8 +45,21 @@ def totals(values: DataFrame) -> DataFrame:
 
 
 def narrowed(hist: DataFrame, most: int = MOST_BUCKETS) -> DataFrame:
-    """The histogram with its resolution halved, for exporters with more populated buckets than `most`, until they fit."""
-    wide = hist.groupBy("exporter").agg(F.count("bucket").alias("used"))
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("used") / F.lit(float(most))))).cast("int")
-    scaled = hist.join(wide, "exporter").withColumn("bucket", F.ceil(F.col("bucket") / F.pow(F.lit(2.0), halvings)).cast("long"))
+    """The histogram with its resolution halved, for exporters with more populated buckets than `most`, until they fit.
+
+    A halving joins buckets 2i - 1 and 2i to i. All halvings are tried on a histogram's few buckets, and the least that fits is taken; at 31 of them no two buckets above or below zero are apart."""
+    tried = hist.where("bucket is not null").select("exporter", "bucket", F.posexplode(F.array(*[F.lit(float(1 << k)) for k in range(32)])).alias("halvings", "width"))
+    fits = tried.groupBy("exporter", "halvings", "width").agg(F.countDistinct(F.ceil(F.col("bucket") / F.col("width"))).alias("used")).where(F.col("used") <= most)
+    least = fits.groupBy("exporter").agg(F.min("width").alias("width"))
+    scaled = hist.join(least, "exporter", "left").withColumn("bucket", F.ceil(F.col("bucket") / F.coalesce("width", F.lit(1.0))).cast("long"))
     return scaled.groupBy("exporter", "bucket").agg(F.sum("n").alias("n"))
+
+
+def kept(hist: DataFrame, devices: DataFrame) -> DataFrame:
+    """The histograms of devices that are still followed: one that is dropped takes its histogram along."""
+    return hist.join(devices.select("exporter").distinct(), "exporter", "left_semi")
+
+
+def admitted(flows: DataFrame, most: int = 65_536) -> DataFrame:
+    """The first `most` devices by arrival, whose records the histograms observe."""
+    return flows.groupBy("exporter").agg(F.min("arrival_seq").alias("born")).orderBy("born", "exporter").limit(most)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .aggregate import BREAKDOWNS
+from ..functions import addresses
+from .aggregate import ADDRESSES, BREAKDOWNS
 
 PREFIX = "flowloom"
 TOP_K = 1000
@@ -26,7 +27,9 @@ def cut(entries: DataFrame, keys: list[str], top_k: int = TOP_K, min_bytes: int
 def labelled(entries: DataFrame, name: str) -> DataFrame:
     """Keys rendered as label text. Entries with a label that is not UTF-8 are left out."""
     b = BREAKDOWNS[name]
-    shown = entries.withColumns({k: (b.labels[k](F.col(k)) if k in b.labels else F.col(k).cast("string")) for k in b.keys})
+    kind = lambda k: entries.schema[k].dataType.simpleString()
+    label = lambda k: addresses.text(F.col(k), kind(k)) if k in ADDRESSES and kind(k) in ("binary", "bigint") else b.labels[k](F.col(k)) if k in b.labels else F.col(k).cast("string")
+    shown = entries.withColumns({k: label(k) for k in b.keys})
     return shown.where(" and ".join(f"is_valid_utf8({k})" for k in b.keys))
 
 
@@ -62,14 +65,34 @@ def published(admitted: DataFrame, other: DataFrame, name: str, top_k: int = TOP
     return samples(kept, name).unionByName(rows.select("metric", "labels", "value"))
 
 
-def listing(admitted: DataFrame, name: str, top_k: int = TOP_K, min_bytes: int = 0) -> DataFrame:
-    """Published entries with their rank, and one summary row of how many and how much is withheld."""
+def listing(admitted: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Every entry with its rank, the withheld tail included; the first `most` ranks alone if given.
+
+    A table has at most its entry bound of rows, and ranks come from running counts of sorted ranges, so no task ranks them all."""
     keys = list(BREAKDOWNS[name].keys)
-    shown = cut(admitted, keys, top_k, min_bytes)
-    ranked = shown.withColumn("rank", F.row_number().over(Window.orderBy(*ordered(admitted, keys))).cast("long"))  # at most top_k rows
+    order = ordered(admitted, keys)
+    if most is not None:
+        shown = admitted.orderBy(*order).limit(most)
+        ranked = shown.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        spread = admitted.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+        spread = spread.checkpoint() if spread.sparkSession.sparkContext.getCheckpointDir() else spread.persist()  # a row's partition is part of its rank
+        sizes = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
+        ranked = spread.join(F.broadcast(before.select("part", "first", "before")), "part").withColumn("rank", F.col("place") - F.col("first") + F.col("before") + 1)
     return labelled(ranked, name).select("rank", *keys, "bytes", "packets", "flows", "bytes_measured", "packets_measured")
 
 
+def report(admitted: DataFrame, other: DataFrame, name: str, top_k: int = TOP_K, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(one row about a table: entries, published, withheld and its totals, other, label names; all its ranked rows). Exporters are never cut."""
+    keys = list(BREAKDOWNS[name].keys)
+    cut_at = (1 << 31) - 1 if name == "exporters" else top_k
+    about = withheld(admitted, name, cut_at, 0 if name == "exporters" else min_bytes)
+    rest = other.select(F.struct("bytes", "packets", "flows").alias("other"))
+    about = about.withColumns({"aggregation": F.lit(name), "entries": F.col("published") + F.col("withheld"), "other": rest.scalar(), "label_names": F.array(*map(F.lit, keys))})
+    return about, listing(admitted, name)
+
+
 def withheld(admitted: DataFrame, name: str, top_k: int = TOP_K, min_bytes: int = 0) -> DataFrame:
     """Numbers of published and withheld entries, and the withheld totals (measured only if all are)."""
     keys = list(BREAKDOWNS[name].keys)
@@ -89,6 +112,12 @@ def withheld(admitted: DataFrame, name: str, top_k: int = TOP_K, min_bytes: int
     )
 
 
+def _info(rows: DataFrame, family: str, labels: dict[str, str]) -> DataFrame:
+    """Samples of an info family: value 1, labels from columns."""
+    names = F.create_map(*[x for label, c in labels.items() for x in (F.lit(label), F.col(c).cast("string"))])
+    return rows.select(F.lit(f"{PREFIX}_{family}_info").alias("metric"), names.alias("labels"), F.lit(1.0).alias("value"))
+
+
 def interface_info(cuts: list[DataFrame], interfaces: DataFrame) -> DataFrame:
     """(exporter, if_index, name) of named interfaces that the published cuts show."""
     seen = None
@@ -102,3 +131,20 @@ def asn_info(published_asns: DataFrame, named: DataFrame) -> DataFrame:
     """(asn, organization) of published numbers that a lookup has named."""
     seen = published_asns.select(F.explode(F.array("src_as", "dst_as")).alias("asn")).where("asn <> 0").distinct()
     return seen.join(named, "asn")
+
+
+def info_families(dims: dict[str, DataFrame], cuts: list[DataFrame] = (), asns: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Samples of device, VLAN, interface and AS info. Devices and VLANs are listed whole; interfaces and numbers as far as the published cuts show them."""
+    parts = []
+    if "devices" in dims:
+        parts.append(_info(dims["devices"], "device", {"exporter": "exporter", "hostname": "hostname"}))
+    if "vlans" in dims:
+        parts.append(_info(dims["vlans"].where("name is not null"), "vlan", {"exporter": "exporter", "vlan": "vlan_id", "name": "name"}))
+    if "interfaces" in dims and cuts:
+        parts.append(_info(interface_info(list(cuts), dims["interfaces"]), "interface", {"exporter": "exporter", "ifindex": "if_index", "name": "name"}))
+    if asns is not None:
+        parts.append(_info(asn_info(*asns), "asn", {"asn": "asn", "organization": "organization"}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

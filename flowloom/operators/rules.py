@@ -57,6 +57,23 @@ def share(rates: DataFrame, within: list[str], name: str = "share") -> DataFrame
     return rates.withColumn("_total", total).where("_total > 0").withColumn(name, F.col("rate") / F.col("_total")).drop("_total", "rate")
 
 
+def rising(snapshots: DataFrame, labels: list[str], span: int, hold: int, step: int = 60) -> DataFrame:
+    """(labels, at, firing): counters that grew in the last `span` seconds, at all evaluations for `hold` seconds."""
+    grown = increase(snapshots, labels, step, span).withColumn("firing", F.col("increase") > 0)
+    return lasting(grown.select(*labels, "at", "firing"), labels, hold, step)
+
+
+def idle(snapshots: DataFrame, labels: list[str], span: int, hold: int, step: int = 60) -> DataFrame:
+    """(labels, at, firing): counters that are there and did not grow in the last `span` seconds, for `hold` seconds."""
+    still = increase(snapshots, labels, step, span).withColumn("firing", F.col("increase") == 0)
+    return lasting(still.select(*labels, "at", "firing"), labels, hold, step)
+
+
+def above(gauge: DataFrame, labels: list[str], limit: float, hold: int, step: int = 60) -> DataFrame:
+    """(labels, at, firing): gauges (labels, at, value) above a limit for `hold` seconds."""
+    return lasting(gauge.select(*labels, "at", (F.col("value") > limit).alias("firing")), labels, hold, step)
+
+
 def lasting(condition_rows: DataFrame, labels: list[str], seconds: int, step: int = 60) -> DataFrame:
     """Rows (labels, at, firing) with `firing` only where the condition held at all evaluations of the last `seconds`."""
     w = Window.partitionBy(*labels).orderBy("at").rangeBetween(-seconds, 0)
@@ -79,3 +96,10 @@ def collapsed(gauge: DataFrame, labels: list[str], span: int = 86400, part: floa
 def several_rates(rates: DataFrame, domain: list[str]) -> DataFrame:
     """Domains with more than one sampling rate."""
     return rates.groupBy(*domain).agg(F.countDistinct("sampling_rate").cast("long").alias("rates")).where("rates > 1")
+
+
+def delivered(flows: DataFrame, drops: DataFrame, on: list[str]) -> DataFrame:
+    """Flows by flows and drops, from two tables of rates; no row where both are zero."""
+    lost = drops.select(*on, "at", F.col("rate").alias("_lost"))
+    whole = F.col("rate") + F.col("_lost")
+    return flows.join(lost, [*on, "at"]).where(whole > 0).select(*on, "at", (F.col("rate") / whole).alias("delivered"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..decode import batch, fixed
 from ..decode.templated import Limits
 from ..functions import labels, records
 from ..functions.fixed import DSCP, PROTOCOLS, SERVICES, TCP_FLAGS
-from ..operators import distributions, enrich, health, publish, rules, tracking
+from ..operators import distributions, enrich, health, publish, tracking
 from ..operators.aggregate import BREAKDOWNS, bounded, breakdown, idle_sessions, with_service_port
 from ..sources import driver_tables as T
 from ..sources import wire
@@ -127,16 +128,16 @@ _DERIVED = {"dscp": {"dscp": "CAST(tos >> 2 AS INTEGER)"}, "applications": {"app
 _LOOKUPS = {"countries": ("countries",), "vlans": ("vlans",), "applications": ("services",), "asns": ("asns",), "threats": ("threats",)}
 
 
-def breakdown_sql(name: str) -> str:
-    keys = ", ".join(f"{_DERIVED.get(name, {}).get(k, k)} AS {k}" for k in BREAKDOWNS[name].keys)
+def breakdown_sql(name: str, by: str = "") -> str:
+    keys = ", ".join(f"{_DERIVED.get(name, {}).get(k, k)} AS {k}" for k in BREAKDOWNS[name].keys) + (f", {by}" if by else "")
     plain = "" if name == "exporters" else f" AND {_PLAIN}"
-    return f"SELECT {keys}, {_SUMS} FROM ({_SOURCE.get(name, T.FLOWS_SQL)}) WHERE ({_ADMIT[name]}){plain} GROUP BY {', '.join(map(str, range(1, len(BREAKDOWNS[name].keys) + 1)))}"
+    return f"SELECT {keys}, {_SUMS} FROM ({_SOURCE.get(name, T.FLOWS_SQL)}) WHERE ({_ADMIT[name]}){plain} GROUP BY {', '.join(map(str, range(1, len(BREAKDOWNS[name].keys) + 1 + bool(by))))}"
 
 
-def entries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, name: str, by: dict | None = None) -> DataFrame:
     parts = _LOOKUPS.get(name)
     f = enriched(spark, sf_dir, *parts) if parts else T.flows(spark, sf_dir)
-    return breakdown(f, name, T.MAPPED_SERVICES)
+    return breakdown(f, name, T.MAPPED_SERVICES, by)
 
 
 def _register_breakdowns() -> None:
@@ -169,10 +170,33 @@ def other_hosts(spark, sf_dir):
 
 @register(
     "entries_hosts",
-    f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, exporter, {_ip('src_ip')} AS src_ip, {_ip('dst_ip')} AS dst_ip, CAST(input_if AS VARCHAR) AS input_if, CAST(output_if AS VARCHAR) AS output_if, direction, bytes, packets, flows, bytes_measured, packets_measured FROM ({_ADMITTED}) ORDER BY {_ORDER} LIMIT {TOP}",
+    f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, exporter, {_ip('src_ip')} AS src_ip, {_ip('dst_ip')} AS dst_ip, CAST(input_if AS VARCHAR) AS input_if, CAST(output_if AS VARCHAR) AS output_if, direction, bytes, packets, flows, bytes_measured, packets_measured FROM ({_ADMITTED})",
 )
 def entries_hosts(spark, sf_dir):
-    return publish.listing(_bounded_hosts(spark, sf_dir)[0], "hosts", TOP)
+    return publish.listing(_bounded_hosts(spark, sf_dir)[0], "hosts")
+
+
+@register(
+    "report_hosts",
+    f"SELECT 'hosts' AS aggregation, CAST(count(*) AS BIGINT) AS entries, CAST(least(count(*), {TOP}) AS BIGINT) AS published, CAST(count(*) FILTER (k > {TOP}) AS BIGINT) AS withheld, CAST(coalesce(sum(bytes) FILTER (k > {TOP}), 0) AS BIGINT) AS withheld_bytes, "
+    f"coalesce(bool_and(bytes_measured) FILTER (k > {TOP}), true) AS withheld_bytes_measured, (SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) FROM ({_RANKED}) WHERE r > {ENTRIES}) AS other_bytes FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS k FROM ({_ADMITTED}))",
+)
+def report_hosts(spark, sf_dir):
+    about, _ = publish.report(*_bounded_hosts(spark, sf_dir), "hosts", TOP)
+    return about.select("aggregation", "entries", "published", "withheld", "withheld_bytes", "withheld_bytes_measured", F.col("other.bytes").alias("other_bytes"))
+
+
+@register(
+    "info_families",
+    f"SELECT '{publish.PREFIX}_device_info' AS metric, concat(exporter, '|', hostname) AS labels_text, 1.0::DOUBLE AS value FROM {_values(T.DEVICES, 'exporter, hostname')} "
+    f"UNION ALL SELECT '{publish.PREFIX}_vlan_info', concat_ws('|', exporter, CAST(vlan_id AS VARCHAR), name), 1.0::DOUBLE FROM {_values([(e, v, n) for e, _, _, v, n in T.PREFIXES], 'exporter, vlan_id, name')} WHERE name IS NOT NULL "
+    f"UNION ALL SELECT DISTINCT '{publish.PREFIX}_interface_info', concat_ws('|', i.exporter, CAST(i.if_index AS VARCHAR), i.name), 1.0::DOUBLE FROM {_values(T.INTERFACES, 'exporter, if_index, name').replace('AS t(', 'AS i(')} "
+    f"JOIN (SELECT * FROM ({breakdown_sql('hosts')}) ORDER BY {_ORDER} LIMIT {TOP}) h ON h.exporter = i.exporter AND i.if_index IN (h.input_if, h.output_if) WHERE i.if_index <> 0",
+)
+def info_families(spark, sf_dir):
+    d = dims(spark) | {"devices": spark.createDataFrame(T.DEVICES, "exporter string, hostname string"), "vlans": spark.createDataFrame([(e, v, n) for e, _, _, v, n in T.PREFIXES], "exporter string, vlan_id long, name string")}
+    out = publish.info_families(d, [publish.cut(entries(spark, sf_dir, "hosts"), _HOSTS, TOP)])
+    return out.select("metric", F.concat_ws("|", *[F.try_element_at("labels", F.lit(k)) for k in ("exporter", "hostname", "vlan", "ifindex", "name")]).alias("labels_text"), "value")
 
 
 @register(
@@ -274,15 +298,26 @@ def interface_info(spark, sf_dir):
     return publish.interface_info(cuts, dims(spark)["interfaces"])
 
 
+_SAID = lambda c: f"(coalesce(CAST({c} AS VARCHAR), '') NOT IN ('', '0'))"
+
+
 @register(
     "enrichment_outcomes",
-    f"SELECT result, count(*) AS records FROM (SELECT CASE WHEN NOT {_PLAIN} OR app_name IS NOT NULL THEN 'skipped' WHEN {_NAMED} IS NOT NULL THEN 'filled' ELSE 'unknown' END AS result FROM ({T.FLOWS_SQL})) GROUP BY 1",
+    f"SELECT result, count(*) AS records FROM (SELECT CASE WHEN NOT {_PLAIN} OR {_SAID('app_name')} THEN 'skipped' WHEN {_SAID(_NAMED)} THEN 'filled' ELSE 'unknown' END AS result FROM ({T.FLOWS_SQL})) GROUP BY 1",
 )
 def enrichment_outcomes(spark, sf_dir):
     f = T.flows(spark, sf_dir)
     named = enrich.name_services(f.withColumn("was", F.col("app_name")), dims(spark)["services"])
-    state = F.when(~enrich.plain() | F.col("was").isNotNull(), "skipped").when(F.col("app_name").isNotNull(), "filled").otherwise("unknown")
-    return named.groupBy(state.alias("result")).agg(F.count("*").alias("records"))
+    return enrich.outcomes(named, ["was"], ["app_name"])
+
+
+@register(
+    "asn_outcomes",
+    f"SELECT CASE WHEN NOT {_PLAIN} OR (src_as <> 0 AND NOT src_as_filled AND dst_as <> 0 AND NOT dst_as_filled) THEN 'skipped' WHEN src_as_filled OR dst_as_filled THEN 'filled' ELSE 'unknown' END AS result, count(*) AS records FROM ({ENRICHED_SQL}) GROUP BY 1",
+)
+def asn_outcomes(spark, sf_dir):
+    f = T.flows(spark, sf_dir).withColumns({"src_was": F.col("src_as"), "dst_was": F.col("dst_as")})
+    return enrich.outcomes(enrich.fill_asns(f, dims(spark)["asns"]), ["src_was", "dst_was"], ["src_as", "dst_as"])
 
 
 _BOUND = "(SELECT i, pow(2.0, i / 8.0) AS hi FROM range(-80, 520) AS r(i))"
@@ -309,7 +344,9 @@ def hist_totals(spark, sf_dir):
     return distributions.totals(distributions.sizes(T.flows(spark, sf_dir))).withColumn("total", F.col("total").cast("long"))
 
 
-_NARROW_SQL = f"SELECT exporter, CASE WHEN used > 40 THEN CAST(ceil(bucket / pow(2, ceil(log2(used / 40.0)))) AS BIGINT) ELSE bucket END AS bucket, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, count(bucket) OVER (PARTITION BY exporter) AS used FROM ({ORACLE_SQL['hist_flow_bytes']})) GROUP BY 1, 2"
+_HALVED = f"SELECT exporter, k, bucket, CAST(ceil(bucket / pow(2, k)) AS BIGINT) AS b, n FROM ({ORACLE_SQL['hist_flow_bytes']}), range(0, 12) AS r(k)"
+_FITS = f"SELECT exporter, min(k) AS k FROM (SELECT exporter, k FROM ({_HALVED}) GROUP BY 1, 2 HAVING count(DISTINCT b) <= 40) GROUP BY 1"
+_NARROW_SQL = f"SELECT exporter, h.b AS bucket, CAST(sum(h.n) AS BIGINT) AS n FROM ({_HALVED}) h JOIN ({_FITS}) USING (exporter, k) GROUP BY 1, 2"
 
 
 @register("hist_narrowed", _NARROW_SQL)
@@ -317,6 +354,66 @@ def hist_narrowed(spark, sf_dir):
     return distributions.narrowed(hist_flow_bytes(spark, sf_dir), 40)
 
 
+@register(
+    "hist_admitted",
+    f"SELECT exporter, bucket, n FROM ({ORACLE_SQL['hist_flow_bytes']}) WHERE exporter IN (SELECT exporter FROM ({T.FLOWS_SQL}) GROUP BY 1 ORDER BY min(arrival_seq), 1 LIMIT 5)",
+)
+def hist_admitted(spark, sf_dir):
+    """Histograms of the first five devices; the others are beyond the budget."""
+    return distributions.kept(hist_flow_bytes(spark, sf_dir), distributions.admitted(T.flows(spark, sf_dir), 5))
+
+
+# -- counters near the end of their range, and addresses of both families
+
+_HUGE = "CAST(bytes AS HUGEINT) * 100000000000 * greatest(sampling_rate, 1)"
+
+
+@register("agg_saturated", f"SELECT exporter, direction, CAST(least(sum(least(coalesce({_HUGE}, 0), 18446744073709551615)), 18446744073709551615) AS VARCHAR) AS bytes, CAST(sum(coalesce(packets * greatest(sampling_rate, 1), 0)) AS VARCHAR) AS packets FROM ({T.FLOWS_SQL}) WHERE version = 'ipfix' GROUP BY 1, 2")
+def agg_saturated(spark, sf_dir):
+    """Bytes of up to 10**16 a record and rates of up to 1000: records and sums stop at 2**64 - 1."""
+    f = T.flows(spark, sf_dir).where("version = 'ipfix'").withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("packets", "flows")}).withColumn("bytes", (F.col("bytes").cast("decimal(12,0)") * F.lit(10**11).cast("decimal(12,0)")).cast("decimal(20,0)"))
+    by = [F.col("exporter"), F.col("direction")]
+    return f.groupBy(*by).agg(records.total(F.col("bytes"), F.col("sampling_rate")).cast("string").alias("bytes"), records.total(F.col("packets"), F.col("sampling_rate")).cast("string").alias("packets"))
+
+
+def flows_v6(spark, sf_dir):
+    """Flows with addresses as bytes, the source of every other one of IPv6: 2001:db8:0:x::y. FLOWS_V6_SQL has them as text."""
+    f = T.flows(spark, sf_dir)
+    v6 = lambda x, y: F.unhex(F.concat(F.lit("20010db80000"), F.lpad(F.hex(x), 4, "0"), F.lit("0" * 12), F.lpad(F.hex(y), 4, "0")))
+    v4 = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    six = F.col("arrival_seq") % 20 >= 10
+    return f.withColumns({"src_ip": F.when(six, v6(F.col("src_ip") % 50 + 1, F.col("src_ip") % 7 + 1)).otherwise(v4("src_ip")), "dst_ip": v4("dst_ip")})
+
+
+_V6 = "concat('2001:db8:0:', lower(hex(src_ip % 50 + 1)), '::', lower(hex(src_ip % 7 + 1)))"
+FLOWS_V6_SQL = f"SELECT * REPLACE (CASE WHEN arrival_seq % 20 >= 10 THEN {_V6} ELSE {_ip('src_ip')} END AS src_ip), src_ip % 50 + 1 AS x, src_ip % 7 + 1 AS y, arrival_seq % 20 >= 10 AS six, src_ip AS src_number FROM ({T.FLOWS_SQL})"
+
+
+@register("agg_hosts_v6", f"SELECT exporter, src_ip, {_ip('dst_ip')} AS dst_ip, CAST(input_if AS VARCHAR) AS input_if, CAST(output_if AS VARCHAR) AS output_if, direction, {_SUMS} FROM ({FLOWS_V6_SQL}) WHERE {_PLAIN} GROUP BY 1, 2, 3, 4, 5, 6")
+def agg_hosts_v6(spark, sf_dir):
+    return publish.labelled(breakdown(flows_v6(spark, sf_dir), "hosts"), "hosts")
+
+
+_NETS6 = [("192.0.2.1", "2001:db8::", 32, 60), ("192.0.2.1", "2001:db8:0:10::", 60, 61), ("192.0.2.1", "2001:db8:0:11::3", 128, 62), ("192.0.2.1", "10.0.0.0", 8, 10), ("192.0.2.2", "2001:db8:0:8::", 61, 63)]
+
+
+@register(
+    "lpm_vlan_v6",
+    f"SELECT exporter, CAST(CASE WHEN NOT {_PLAIN} THEN 0 WHEN exporter = '192.0.2.1' AND six THEN CASE WHEN x = 17 AND y = 3 THEN 62 WHEN x // 16 = 1 THEN 61 ELSE 60 END WHEN exporter = '192.0.2.1' THEN 10 "
+    f"WHEN exporter = '192.0.2.2' AND six AND x // 8 = 1 THEN 63 ELSE 0 END AS BIGINT) AS src_vlan, count(*) AS n FROM ({FLOWS_V6_SQL}) GROUP BY 1, 2",
+)
+def lpm_vlan_v6(spark, sf_dir):
+    nets = spark.createDataFrame([(e, bytearray(ipaddress.ip_address(n).packed), k, v) for e, n, k, v in _NETS6], "exporter string, network binary, length int, vlan_id long")
+    return enrich.fill_vlans(flows_v6(spark, sf_dir), nets).groupBy("exporter", "src_vlan").agg(F.count("*").alias("n"))
+
+
+@register("threat_flag_v6", f"SELECT exporter, {_PLAIN} AND ((six AND x % 5 = 0 AND y = 2) OR (NOT six AND src_number % 64 = 9)) AS src_flagged, count(*) AS n FROM ({FLOWS_V6_SQL}) GROUP BY 1, 2")
+def threat_flag_v6(spark, sf_dir):
+    listed = [f"2001:db8:0:{x:x}::2" for x in range(5, 51, 5)] + [str(ipaddress.ip_address(167772160 + k)) for k in range(9, 65536, 64)]
+    threats = spark.createDataFrame([(bytearray(ipaddress.ip_address(a).packed),) for a in listed], "address binary")
+    return enrich.flag_threats(flows_v6(spark, sf_dir), threats).groupBy("exporter", "src_flagged").agg(F.count("*").alias("n"))
+
+
 # -- tracking, on events: one domain for each user
 
 
@@ -403,11 +500,6 @@ def health_sampling(spark, sf_dir):
     return health.sampling_in_force(T.flows(spark, sf_dir))
 
 
-@register("several_rates", f"SELECT odid, count(DISTINCT sampling_rate) AS rates FROM ({T.FLOWS_SQL}) GROUP BY 1 HAVING count(DISTINCT sampling_rate) > 1")
-def several_rates(spark, sf_dir):
-    return rules.several_rates(T.flows(spark, sf_dir), ["odid"])
-
-
 @register("zero_flow_aggregates", f"SELECT exporter, odid, CAST(count(*) FILTER (flows = 0) AS BIGINT) AS zero, count(*) AS aggregates FROM ({T.FLOWS_SQL}) WHERE flows_reported GROUP BY 1, 2")
 def zero_flow_aggregates(spark, sf_dir):
     return health.zero_flow_aggregates(T.flows(spark, sf_dir))
@@ -426,118 +518,6 @@ def idle_sessions_query(spark, sf_dir):
     return idle_sessions(e, ["user_id"], "us", _TTL).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-# -- rules, on counters sampled from events: event i happens at second 3 i and raises its series' counters
-
-LABELS = ["exporter", "odid", "version", "direction", "dscp", "flags", "src_country", "dst_country", "src_as", "dst_as", "dst", "protocol", "port", "address", "endpoint"]
-_SERIES = """SELECT event_id * 3 AS t, concat('192.0.2.', CAST(1 + user_id % 3 AS VARCHAR)) AS exporter, CAST(user_id % 2 AS VARCHAR) AS odid, 'ipfix' AS version,
- CASE WHEN user_id % 2 = 0 THEN 'ingress' ELSE 'egress' END AS direction, CASE user_id % 2 WHEN 0 THEN 'cs0' ELSE 'ef' END AS kind, 1 + event_id % 5 AS packets, (1 + event_id % 5) * (64 + event_id % 1000) AS bytes, event_id, user_id FROM events"""
-_COUNTERS = f"SELECT t, exporter, odid, direction, kind, CAST(sum(bytes) OVER w AS DOUBLE) AS bytes, CAST(sum(packets) OVER w AS DOUBLE) AS packets, CAST(count(*) OVER w AS DOUBLE) AS flows FROM ({_SERIES}) WINDOW w AS (PARTITION BY exporter, odid, direction, kind, t // 9000 ORDER BY t)"
-_S = ["exporter", "odid", "direction", "kind"]
-
-
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of counters; they restart every 9000 seconds."""
-    from pyspark.sql.window import Window
-
-    i, u = F.col("event_id"), F.col("user_id")
-    e = T.table(spark, sf_dir, "events").select(
-        (i * 3).alias("t"), F.concat(F.lit("192.0.2."), (1 + u % 3).cast("string")).alias("exporter"), (u % 2).cast("string").alias("odid"),
-        F.when(u % 2 == 0, "ingress").otherwise("egress").alias("direction"), F.when(u % 2 == 0, "cs0").otherwise("ef").alias("kind"), (1 + i % 5).alias("p"), ((1 + i % 5) * (64 + i % 1000)).alias("b"),
-    )
-    w = Window.partitionBy(*_S, F.floor(F.col("t") / 9000)).orderBy("t")
-    return e.select("t", *_S, F.sum("b").over(w).cast("double").alias("bytes"), F.sum("p").over(w).cast("double").alias("packets"), F.count("*").over(w).cast("double").alias("flows"))
-
-
-def _rates(spark, sf_dir, counter: str) -> DataFrame:
-    return rules.rate(counters(spark, sf_dir).withColumnRenamed(counter, "value").select(*_S, "t", "value"), _S)
-
-
-def _rate_sql(counter: str, by: list[str]) -> str:
-    s = ", ".join(_S)
-    return f"""SELECT {', '.join(by)}, "at", sum(rate) AS rate FROM (SELECT {s}, "at", d * (w + least(near, CASE WHEN d > 0 AND v >= 0 THEN w * v / d ELSE near END) + far) / w / 300 AS rate FROM (
- SELECT *, CASE WHEN st >= w / (n - 1) * 1.1 THEN w / (n - 1) / 2 ELSE st END AS near, CASE WHEN en >= w / (n - 1) * 1.1 THEN w / (n - 1) / 2 ELSE en END AS far FROM (
- SELECT {s}, "at", count(*) AS n, CAST(max(t) - min(t) AS DOUBLE) AS w, CAST(min(t) - ("at" - 300) AS DOUBLE) AS st, CAST("at" - max(t) AS DOUBLE) AS en, arg_min(value, t) AS v,
-  sum(CASE WHEN t0 > "at" - 300 THEN CASE WHEN value < v0 THEN value ELSE value - v0 END ELSE 0 END) AS d
- FROM (SELECT x.*, g."at" FROM (SELECT {s}, t, {counter} AS value, lag(t) OVER k AS t0, lag({counter}) OVER k AS v0 FROM ({_COUNTERS}) WINDOW k AS (PARTITION BY {s} ORDER BY t)) x
-  JOIN (SELECT unnest(range(0, (SELECT max(event_id) * 3 + 600 FROM events), 60)) AS "at") g ON x.t > g."at" - 300 AND x.t <= g."at")
- GROUP BY {s}, "at" HAVING count(*) > 1)))
- GROUP BY {', '.join(by)}, "at\""""
-
-
-def _rounded(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.round(column, 6))
-
-
-def _register_rates() -> None:
-    for name, counter, by in (
-        ("rate5m_exporter", "bytes", ["exporter", "direction"]), ("rate5m_exporter_packets", "packets", ["exporter", "direction"]), ("rate5m_exporter_flows", "flows", ["exporter", "direction"]),
-        ("country_src_rate", "bytes", ["exporter", "kind"]), ("asn_dst_rate", "bytes", ["odid"]), ("dest_proto_port", "packets", ["kind", "odid"]), ("threat_endpoint_rate", "flows", ["direction"]),
-    ):
-        register(name, f'SELECT {", ".join(by)}, "at", round(rate, 6) AS rate FROM ({_rate_sql(counter, by)})')(lambda s, d, c=counter, b=by: _rounded(rules.summed(_rates(s, d, c), b), "rate"))
-
-
-_register_rates()
-_ED = ["exporter", "direction"]
-
-
-def _ratio_sql(top: str, bottom: str, by: list[str], name: str) -> str:
-    return f'SELECT {", ".join(f"a.{c}" for c in by)}, a."at", round(a.rate / b.rate, 6) AS {name} FROM ({top}) a JOIN ({bottom}) b ON {" AND ".join(f"a.{c} = b.{c}" for c in [*by])} AND a."at" = b."at" WHERE b.rate > 0'
-
-
-@register("bytes_per_packet", _ratio_sql(_rate_sql("bytes", _ED), _rate_sql("packets", _ED), _ED, "bytes_per_packet"))
-def bytes_per_packet(spark, sf_dir):
-    both = [rules.summed(_rates(spark, sf_dir, c), _ED) for c in ("bytes", "packets")]
-    return _rounded(rules.ratio(*both, _ED, "bytes_per_packet"), "bytes_per_packet")
-
-
-@register("coverage_ratio", _ratio_sql(_rate_sql("packets", ["exporter"]), _rate_sql("flows", ["exporter"]), ["exporter"], "coverage"))
-def coverage_ratio(spark, sf_dir):
-    both = [rules.summed(_rates(spark, sf_dir, c), ["exporter"]) for c in ("packets", "flows")]
-    return _rounded(rules.ratio(*both, ["exporter"], "coverage"), "coverage")
-
-
-def _share_sql(counter: str) -> str:
-    return f'SELECT exporter, kind, "at", round(rate / total, 6) AS share FROM (SELECT *, sum(rate) OVER (PARTITION BY exporter, "at") AS total FROM ({_rate_sql(counter, ["exporter", "kind"])})) WHERE total > 0'
-
-
-@register("dscp_share", _share_sql("bytes"))
-def dscp_share(spark, sf_dir):
-    return _rounded(rules.share(rules.summed(_rates(spark, sf_dir, "bytes"), ["exporter", "kind"]), ["exporter"]), "share")
-
-
-@register("flag_share", _share_sql("flows"))
-def flag_share(spark, sf_dir):
-    return _rounded(rules.share(rules.summed(_rates(spark, sf_dir, "flows"), ["exporter", "kind"]), ["exporter"]), "share")
-
-
-_NOW = "(SELECT max(epoch_us(ts) // 1000000) FROM events)"
-
-
-@register("alert_silent", f"SELECT user_id, CAST({_NOW} - max(epoch_us(ts) // 1000000) AS BIGINT) AS age, CAST({_NOW} - max(epoch_us(ts) // 1000000) AS BIGINT) > 14400 AS firing FROM events GROUP BY 1")
-def alert_silent(spark, sf_dir):
-    e = T.table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    last = e.groupBy("user_id").agg(F.max("s").alias("last_seen")).withColumn("now", e.agg(F.max("s")).scalar())
-    return rules.silent(last, F.col("now"), 14400).select("user_id", "age", "firing")
-
-
-_GAUGE = "SELECT user_id % 5 AS list, event_id * 60 AS t, max(CAST(floor(value) AS BIGINT)) AS value FROM events GROUP BY 1, 2"
-
-
-@register("alert_list_collapsed", f"SELECT list, t, value, max(value) OVER w AS most, value < 0.5 * max(value) OVER w AS firing FROM ({_GAUGE}) WINDOW w AS (PARTITION BY list ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)")
-def alert_list_collapsed(spark, sf_dir):
-    g = T.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("list"), (F.col("event_id") * 60).alias("t")).agg(F.max(F.floor("value")).alias("value"))
-    return rules.collapsed(g, ["list"])
-
-
-@register(
-    "alert_lasting",
-    f'SELECT exporter, "at", min(CAST(high AS INTEGER)) OVER w = 1 AND count(*) OVER w >= 6 AS firing FROM (SELECT exporter, "at", rate > 30000 AS high FROM ({_rate_sql("bytes", ["exporter"])})) WINDOW w AS (PARTITION BY exporter ORDER BY "at" RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)',
-)
-def alert_lasting(spark, sf_dir):
-    rows = rules.summed(_rates(spark, sf_dir, "bytes"), ["exporter"]).select("exporter", "at", (F.col("rate") > 30000).alias("firing"))
-    return rules.lasting(rows, ["exporter"], 300)
-
-
 # -- wire formats: datagrams are made from lineitem and read again
 
 _WIRE = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS b, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem"
@@ -644,3 +624,6 @@ def template_expiry(spark, sf_dir):
     ordered = seen.withColumn("arrival_seq", F.unix_micros("recv_ts"))
     out = batch.templated(ordered, Limits(ttl=3600.0))
     return out.groupBy("exporter").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error") == "missing_template").alias("missing"))
+
+
+from . import rule_queries  # noqa: E402, F401  (registers the rules)

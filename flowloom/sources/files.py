@@ -6,6 +6,7 @@ import ipaddress
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def threat_list(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]
     return rows.where(is_address).distinct(), rows.where(~is_address).agg(F.count("*").alias("skipped"))
 
 
+def as_bytes(address: Column) -> Column:
+    """Text of an address of either family as 4 or 16 bytes; NULL for others. For lookup files, which are small."""
+
+    @F.arrow_udf("binary")
+    def packed(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column.to_pylist():
+            try:
+                a = ipaddress.ip_address(x or "")
+                out.append((getattr(a, "ipv4_mapped", None) or a).packed)
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.binary())
+
+    return packed(address)
+
+
 def as_number(address: Column) -> Column:
     """Dotted IPv4 text as a number; NULL for others."""
     parts = F.split(address, r"\.")
@@ -76,10 +94,10 @@ def tagged_csv_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prefix_table(spark: SparkSession, path: str, value: str, kind: str = "string") -> DataFrame:
-    """network, length and a value from a CSV of prefix, value; IPv4 prefixes only. Zero and empty values are no answer."""
+    """network (bytes), length and a value from a CSV of prefix, value, of either family. Zero and empty values are no answer."""
     rows = spark.read.schema(f"prefix string, `{value}` {kind}").csv(path)
     parts = F.split("prefix", "/")
-    out = rows.select(as_number(parts[0]).alias("network"), parts[1].cast("int").alias("length"), F.col(value))
+    out = rows.select(as_bytes(parts[0]).alias("network"), parts[1].cast("int").alias("length"), F.col(value))
     empty = F.col(value).cast("string").isin("", "0") | F.col(value).isNull()
     return out.where(F.col("network").isNotNull() & ~empty)
 
@@ -102,10 +120,10 @@ class Mapping:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         make = spark.createDataFrame
-        v4 = [(e, int(n.network_address), n.prefixlen, v) for e, p, v in self.prefixes if (n := ipaddress.ip_network(p)).version == 4]
+        nets = [(e, bytearray(n.network_address.packed), n.prefixlen, v) for e, p, v in self.prefixes if (n := ipaddress.ip_network(p))]
         return {
             "devices": make(self.devices, "exporter string, hostname string"), "interfaces": make(self.interfaces, "exporter string, if_index long, name string"),
-            "vlans": make(self.vlans, "exporter string, vlan_id long, name string"), "prefixes": make(v4, "exporter string, network long, length int, vlan_id long"),
+            "vlans": make(self.vlans, "exporter string, vlan_id long, name string"), "prefixes": make(nets, "exporter string, network binary, length int, vlan_id long"),
             "services": make(self.services, "protocol long, port long, name string"),
         }
 

@@ -64,10 +64,9 @@ def flows(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def with_numbers(rows: DataFrame) -> DataFrame:
-    """Decoded rows as the breakdowns take them: IPv4 addresses as numbers, counters as LONG."""
-    address = lambda c: F.when(F.octet_length(c) == 4, F.conv(F.hex(c), 16, 10).cast("long"))
-    whole = {c: F.col(c).cast("long") for c in ("bytes", "packets", "flows")}
-    return rows.withColumns({"src_ip": address("src_addr"), "dst_ip": address("dst_addr")} | whole)
+    """Decoded rows as the breakdowns take them: addresses of both families as bytes, counters of 64 unsigned bits."""
+    whole = {c: F.col(c).cast("decimal(20,0)") for c in ("bytes", "packets", "flows")}
+    return rows.withColumns({"src_ip": F.col("src_addr"), "dst_ip": F.col("dst_addr")} | whole)
 
 
 def publisher(names: list[str], write: Callable[[DataFrame, int], None], enrich: Callable[[DataFrame], DataFrame] = lambda f: f, top_k: int = publish.TOP_K) -> Callable[[DataFrame, int], None]:

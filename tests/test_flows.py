@@ -183,7 +183,7 @@ services: {5246/udp: capwap}
 def test_mapping(spark):
     m = files.mapping(MAPPING)
     assert m.devices == [("192.0.2.1", "sw1")] and m.services == [(17, 5246, "capwap")]
-    assert {k: v.count() for k, v in m.tables(spark).items()} == {"devices": 1, "interfaces": 2, "vlans": 2, "prefixes": 2, "services": 1}
+    assert {k: v.count() for k, v in m.tables(spark).items()} == {"devices": 1, "interfaces": 2, "vlans": 2, "prefixes": 4, "services": 1}
 
 
 @pytest.mark.parametrize(
