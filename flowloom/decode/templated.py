@@ -50,6 +50,8 @@ class Limits:
     domains: int = 256
     ttl: float = 1800.0
     applications: int = 16384
+    samplers: int = 256
+    fields_held: int = 65536
 
 
 @dataclass
@@ -59,6 +61,7 @@ class Domain:
     records: dict[int, RecordLoss] = field(default_factory=dict)
     unresolved: int = 0
     inversions: int = 0
+    seen: float = 0.0
 
 
 class Malformed(Exception):
@@ -166,9 +169,23 @@ class Device:
     def __init__(self, limits: Limits = Limits()):
         self.limits = limits
         self.domains: dict[tuple[str, int], Domain] = {}
-        self.samplers = {"netflow_v9": Declarations(), "ipfix": Declarations()}
+        self.samplers = {"netflow_v9": Declarations(limits.samplers), "ipfix": Declarations(limits.samplers)}
         self.applications: dict[int, dict[str, str]] = {}
+        self.announced = 0.0  # when an application was last announced
         self.unread: set[tuple[int, int]] = set()
+        self.refused = dict.fromkeys(("domains", "applications", "strings", "layouts"), 0)
+
+    def notes(self) -> list[tuple[str, int | None, str, int]]:
+        """(version, domain, what, number) of all that the device's state counts; version and domain of the device as a whole are '' and None."""
+        out = []
+        for (version, odid), d in sorted(self.domains.items()):
+            missed = sum(x.missed for x in (d.packets if version == "netflow_v9" else d.records).values())
+            counts = {"sequence_missed": missed, "templates": len(d.layouts), "sampling_unresolved": d.unresolved, "clock_inversions": d.inversions}
+            out += [(version, odid, k, n) for k, n in counts.items()]
+        for version, table in self.samplers.items():
+            out += [(version, None, "declarations_refused", table.refused), (version, None, "sampler_rate_changes", table.changes)]
+        out += [("", None, f"{k}_refused", n) for k, n in self.refused.items()]
+        return out + [("", None, f"unread {enterprise}:{number}", 1) for enterprise, number in sorted(self.unread)]
 
     def decode(self, payload: bytes, port: int = 0, now: float = 0.0) -> tuple[list[dict], list[str]]:
         """(records, errors) of a datagram. One that is malformed gives no records."""
@@ -182,11 +199,19 @@ class Device:
         except Malformed:
             return [], [*errors, "malformed"]
 
-    def _domain(self, version: str, odid: int) -> Domain | None:
+    def _domain(self, version: str, odid: int, now: float) -> Domain | None:
+        """A domain of the device; where there are as many as may be, idle ones make room, or the new one is refused."""
         key = version, odid
         if key not in self.domains and len(self.domains) >= self.limits.domains:
-            return None
-        return self.domains.setdefault(key, Domain())
+            idle = [k for k, d in self.domains.items() if now - d.seen > self.limits.ttl]
+            for k in idle:
+                del self.domains[k]
+            if not idle:
+                self.refused["domains"] += 1
+                return None
+        domain = self.domains.setdefault(key, Domain())
+        domain.seen = now
+        return domain
 
     # -- NetFlow 9
 
@@ -194,7 +219,7 @@ class Device:
         if len(payload) < 20:
             raise Malformed
         _, _, uptime, seconds, sequence, odid = unpack_from(">HHIIII", payload)
-        domain = self._domain("netflow_v9", odid)
+        domain = self._domain("netflow_v9", odid, now)
         if domain is None:
             errors.append("domain_limit")
             return []
@@ -222,7 +247,7 @@ class Device:
             else:
                 for i in range(len(body) // layout.least):
                     values, _ = split(layout, body, i * layout.least)
-                    self._consume("netflow_v9", odid, domain, port, kind, layout, values, clock, records)
+                    self._consume("netflow_v9", odid, domain, port, kind, layout, values, clock, records, now)
         return records
 
     # -- IPFIX
@@ -233,7 +258,7 @@ class Device:
         _, size, seconds, sequence, odid = unpack_from(">HHIII", payload)
         if not 16 <= size <= len(payload):
             raise Malformed
-        domain = self._domain("ipfix", odid)
+        domain = self._domain("ipfix", odid, now)
         if domain is None:
             errors.append("domain_limit")
             return []
@@ -263,7 +288,7 @@ class Device:
                         complete = False
                         break
                     seen += 1
-                    self._consume("ipfix", odid, domain, port, kind, layout, values, clock, records)
+                    self._consume("ipfix", odid, domain, port, kind, layout, values, clock, records, now)
         domain.records.setdefault(port, RecordLoss()).see(sequence, seen, 0, complete)
         return records
 
@@ -294,7 +319,9 @@ class Device:
 
     def _announce(self, domain: Domain, port: int, layout_id: int, layout: Layout | None, now: float, errors: list[str]) -> None:
         key = port, layout_id
-        full = key not in domain.layouts and len(domain.layouts) >= self.limits.layouts
+        held = sum(len(x.elements) for d in self.domains.values() for x in d.layouts.values()) if layout is not None and key not in domain.layouts else 0
+        full = key not in domain.layouts and (len(domain.layouts) >= self.limits.layouts or held + len(layout.elements if layout else ()) > self.limits.fields_held)
+        self.refused["layouts"] += full
         if layout is None or not fits(layout) or full:
             errors.append("invalid_template")
             domain.layouts.pop(key, None)
@@ -307,9 +334,9 @@ class Device:
         layout = domain.layouts.get((port, layout_id))
         return layout if layout is not None and now - layout.seen <= self.limits.ttl else None
 
-    def _consume(self, version: str, odid: int, domain: Domain, port: int, layout_id: int, layout: Layout, values: list, clock: dict, records: list[dict]) -> None:
+    def _consume(self, version: str, odid: int, domain: Domain, port: int, layout_id: int, layout: Layout, values: list, clock: dict, records: list[dict], now: float) -> None:
         if layout.options:
-            self._learn(version, odid, port, layout, values)
+            self._learn(version, odid, port, layout, values, now)
         else:
             records.append(self._record(version, odid, domain, port, layout_id, read_fields(values), clock))
 
@@ -351,7 +378,7 @@ class Device:
         else:
             out["start_us"], out["end_us"] = start, end
 
-    def _learn(self, version: str, odid: int, port: int, layout: Layout, values: list[tuple[Element, bytes]]) -> None:
+    def _learn(self, version: str, odid: int, port: int, layout: Layout, values: list[tuple[Element, bytes]], now: float) -> None:
         said: dict = {}
         scope: dict = {}
         for i, (e, raw) in enumerate(values):
@@ -372,6 +399,7 @@ class Device:
                 said["app_id"] = application_id(raw)
             elif e.number == 96:
                 said["app_name"] = name(raw)
+                self.refused["strings"] += said["app_name"] is None and bool(raw.rstrip(b"\0 "))
         rate, table = declared_rate(said), self.samplers[version]
         if rate:
             sampler = said.get("sampler") if said.get("sampler") is not None else said.get("selector")
@@ -385,7 +413,14 @@ class Device:
                 table.declare_scope(("domain", scope["domain"]), rate)
             else:
                 table.declare(odid, None, rate)
-        if said.get("app_id") and (said["app_id"] in self.applications or len(self.applications) < self.limits.applications):
+        if not said.get("app_id"):
+            return
+        if now - self.announced > self.limits.ttl:  # names that no announcement renews go together
+            self.applications.clear()
+        self.announced = now
+        if said["app_id"] not in self.applications and len(self.applications) >= self.limits.applications:
+            self.refused["applications"] += 1
+        else:
             known = self.applications.setdefault(said["app_id"], {})
             known |= {k: said[v] for k, v in (("app_name", "app_name"), ("app_category", "category")) if said.get(v)}
 

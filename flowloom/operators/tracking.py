@@ -32,6 +32,8 @@ def missed_packets(rows: DataFrame, session: list[str], order: str, seq: str) ->
 class PacketLoss:
     """Sessions that number datagrams: forward steps count what they skip, late ones nothing, other jumps begin anew."""
 
+    measures = ("missed",)
+
     def __init__(self):
         self.last: int | None = None
         self.missed = 0
@@ -48,6 +50,8 @@ class PacketLoss:
 class RecordLoss:
     """Sessions that number records: a message says how many came before it. An unfinished message, or another engine, begins anew."""
 
+    measures = ("missed",)
+
     def __init__(self):
         self.expected: int | None = None
         self.engine: int | None = None
@@ -68,6 +72,8 @@ class RecordLoss:
 class SamplePool:
     """Growth of a sampler's pool and drops between neighbouring samples of one rate."""
 
+    measures = ("pool", "drops")
+
     def __init__(self):
         self.last: tuple[int, int, int, int] | None = None
         self.pool = self.drops = self.late = 0
@@ -94,15 +100,15 @@ class _Counted:
         return []
 
     def end(self) -> list[dict]:
-        return [self.row | {"missed": self.tracker.missed}]
+        return [self.row | {m: getattr(self.tracker, m) for m in self.tracker.measures}]
 
 
 def missed(rows: DataFrame, session: dict[str, str], order: str, fields: list[str], tracker) -> DataFrame:
-    """Losses of each session. session: column -> 'string' or 'long'; fields: what the tracker sees."""
+    """What a tracker counts of each session. session: column -> 'string' or 'long'; fields: what the tracker sees."""
     kinds = {"string": pa.string(), "long": pa.int64()}
     names = list(session)
-    types = pa.schema([(n, kinds[t]) for n, t in session.items()] + [("missed", pa.int64())])
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*session.items(), ("missed", "long")])
+    types = pa.schema([(n, kinds[t]) for n, t in session.items()] + [(m, pa.int64()) for m in tracker.measures])
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*session.items(), *((m, "long") for m in tracker.measures)])
     return fold(rows.select(*names, order, *fields), names, [order], lambda key: _Counted(key, names, tracker(), fields), schema, types)
 
 
@@ -141,20 +147,27 @@ class _Resolver:
 class Declarations:
     """Sampling declarations of one device."""
 
-    def __init__(self):
+    def __init__(self, most: int = 256):
         self.named: dict[tuple[int, int], int] = {}
         self.own: dict[int, int] = {}
         self.scoped: dict[tuple, int] = {}  # ('template', odid, port, id), ('interface', odid, index) or ('domain', odid)
+        self.most, self.refused, self.changes = most, 0, 0
+
+    def _put(self, table: dict, key, rate: int) -> None:
+        """A declaration; new ones are refused where there are `most`, and another rate for a known one is counted."""
+        if rate <= 0:
+            return
+        if key not in table and len(self.named) + len(self.own) + len(self.scoped) >= self.most:
+            self.refused += 1
+            return
+        self.changes += table.get(key, rate) != rate
+        table[key] = rate
 
     def declare(self, odid: int, sampler: int | None, rate: int) -> None:
-        if rate > 0 and sampler is None:
-            self.own[odid] = rate
-        elif rate > 0:
-            self.named[odid, sampler] = rate
+        self._put(self.own if sampler is None else self.named, odid if sampler is None else (odid, sampler), rate)
 
     def declare_scope(self, scope: tuple, rate: int) -> None:
-        if rate > 0:
-            self.scoped[scope] = rate
+        self._put(self.scoped, scope, rate)
 
     @staticmethod
     def _agreed(rates: Iterable[int]) -> int:

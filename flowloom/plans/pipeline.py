@@ -44,10 +44,13 @@ def from_datagrams(datagrams: DataFrame, dims: dict[str, DataFrame], settings: S
     return enriched(with_numbers(flows), dims)
 
 
-def published(flows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Metrics of all breakdowns whose columns the flows have. The flows are read once and held for all of them."""
-    held = flows.persist()
-    out = None
+def published(flows: DataFrame, settings: Settings = Settings(), dims: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Metrics of all breakdowns whose columns the flows have, and info families of the tables given.
+
+    The flows are read by every breakdown; a caller that reads the result more than once, or whose flows
+    are dear to make, persists them and releases them afterwards."""
+    held = flows
+    out, cuts = None, []
     needs = {"countries": "src_country", "vlans": "src_vlan", "threats": "src_flagged"}
     for name in settings.modules:
         if needs.get(name, "exporter") not in flows.columns:
@@ -55,4 +58,7 @@ def published(flows: DataFrame, settings: Settings = Settings()) -> DataFrame:
         admitted, other = bounded(breakdown(held, name), list(BREAKDOWNS[name].keys), settings.max_entries)
         part = publish.published(admitted, other, name, settings.top_k, settings.min_bytes)
         out = part if out is None else out.unionByName(part)
-    return out
+        if name in ("hosts", "services", "threats"):
+            cuts.append(publish.cut(admitted, list(BREAKDOWNS[name].keys), settings.top_k, settings.min_bytes))
+    known = {k: v for k, v in (dims or {}).items() if k in ("devices", "vlans") or (k == "interfaces" and cuts)}
+    return out.unionByName(publish.info_families(known, cuts)) if known else out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..decode import batch, fixed
+from ..decode import health as device_health
 from ..decode.templated import Limits
 from ..functions import labels, records
 from ..functions.fixed import DSCP, PROTOCOLS, SERVICES, TCP_FLAGS
@@ -622,8 +623,84 @@ def template_expiry(spark, sf_dir):
     times = rows.select("arrival_seq", "recv").distinct()
     seen = data.drop("recv_ts").join(times, "arrival_seq").withColumnRenamed("recv", "recv_ts").withColumn("kind", F.lit("netflow_v9"))
     ordered = seen.withColumn("arrival_seq", F.unix_micros("recv_ts"))
-    out = batch.templated(ordered, Limits(ttl=3600.0))
+    out = batch.templated(ordered, Limits(ttl=3600.0)).where("note is null")
     return out.groupBy("exporter").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error") == "missing_template").alias("missing"))
 
 
+# -- health of devices, from datagrams
+
+
+@register(
+    "decode_errors",
+    f"""SELECT exporter, version, reason, count(*) AS n FROM (SELECT '192.0.2.1' AS exporter, CASE m WHEN 0 THEN 'netflow_v5' WHEN 3 THEN 'netflow_v8' WHEN 4 THEN 'netflow_v8' ELSE 'unknown' END AS version,
+     CASE m WHEN 2 THEN 'unsupported_version' WHEN 4 THEN 'unsupported_aggregation' ELSE 'malformed' END AS reason FROM (SELECT arrival_seq % 7 AS m FROM ({_MADE})) WHERE m < 5) GROUP BY 1, 2, 3""",
+)
+def decode_errors(spark, sf_dir):
+    """Datagrams of which some are cut off, of an unknown version, or of an unknown method."""
+    m, p = F.col("arrival_seq") % 7, F.col("payload")
+    damaged = F.when(m == 0, F.substring(p, 1, 40)).when(m == 1, F.substring(p, 1, 3)).when(m == 2, F.concat(F.unhex(F.lit("0063")), F.substring(p, 3, 70)))
+    v8 = lambda method: F.concat(F.unhex(F.lit("0008")), F.substring(p, 3, 20), F.unhex(F.lit(method)), F.substring(p, 25, 16))
+    damaged = damaged.when(m == 3, v8("0102")).when(m == 4, v8("6302")).otherwise(p)
+    data = encode_v5(wire_rows(spark, sf_dir)).withColumn("payload", damaged).withColumns({"recv_ts": F.lit(None).cast("timestamp"), "listener": F.lit("udp")})
+    _, errors = batch.decode(_landed(data))
+    return health.errors_by_reason(errors).withColumnRenamed("errors", "n")
+
+
+def _numbered(spark, sf_dir):
+    return wire_rows(spark, sf_dir).dropDuplicates(["arrival_seq"])
+
+
+_GAPS = "CAST(max(arrival_seq) - min(arrival_seq) + 1 - count(DISTINCT arrival_seq) AS BIGINT) AS missed"
+
+
+@register(
+    "sequence_missed",
+    f"SELECT '192.0.2.1' AS exporter, 'netflow_v5' AS version, 0 AS odid, {_GAPS} FROM ({_MADE}) UNION ALL "
+    + " UNION ALL ".join(f"SELECT concat('192.0.2.', CAST(arrival_seq % 8 + 1 AS VARCHAR)), '{v}', 7, {_GAPS} FROM ({_MADE}) GROUP BY 1" for v in ("netflow_v9", "ipfix", "sflow_v5")),
+)
+def sequence_missed(spark, sf_dir):
+    """Numbers that devices skipped: rows of the table that are not there."""
+    rows = _numbered(spark, sf_dir)
+    data = encode_v5(rows).withColumns({"recv_ts": F.lit(None).cast("timestamp"), "listener": F.lit("udp")})
+    for made in (wire.encode_v9(rows), wire.encode_ipfix(rows), wire.encode_sflow(rows, number="arrival_seq")):
+        data = data.unionByName(made)
+    found = device_health.of_datagrams(_landed(data)).where("metric = 'sequence_missed'")
+    return found.select("exporter", "version", F.col("odid").cast("int").alias("odid"), F.col("value").alias("missed"))
+
+
+@register(
+    "sample_pool",
+    f"SELECT exporter, metric, CAST(sum(n) AS BIGINT) AS value FROM (SELECT concat('192.0.2.', CAST(arrival_seq % 8 + 1 AS VARCHAR)) AS exporter, arrival_seq % 5 AS s, unnest(['sample_pool', 'samples_dropped']) AS metric, unnest([(max(arrival_seq) - min(arrival_seq)) * 10, max(arrival_seq) - min(arrival_seq)]) AS n FROM ({_MADE}) GROUP BY 1, 2) GROUP BY 1, 2",
+)
+def sample_pool(spark, sf_dir):
+    """How far the pools and drops of sFlow samplers grew."""
+    n = F.col("arrival_seq")
+    data = wire.encode_sflow(_numbered(spark, sf_dir).withColumn("input_if", n % 5), number="arrival_seq", pool=(n * 10) % (1 << 32), drops=n % (1 << 32))
+    return device_health.sflow_health(_landed(data)).where("metric <> 'sequence_missed'").select("exporter", "metric", "value")
+
+
+@register(
+    "device_state",
+    f"SELECT concat('192.0.2.', CAST(arrival_seq % 8 + 1 AS VARCHAR)) AS exporter, unnest(['templates', 'sampling_unresolved', 'clock_inversions']) AS metric, unnest([1, count(DISTINCT arrival_seq), 0]) AS value FROM ({_MADE}) GROUP BY 1",
+)
+def device_state(spark, sf_dir):
+    """Layouts, records whose sampling rate is owed, and clocks that run backwards, by NetFlow 9 device."""
+    found = device_health.templated_health(_landed(wire.encode_v9(_numbered(spark, sf_dir))))
+    return found.where("odid is not null and metric in ('templates', 'sampling_unresolved', 'clock_inversions')").select("exporter", "metric", "value")
+
+
+@register("table_health", f"SELECT 'hosts' AS aggregation, least(count(*), {ENTRIES}) AS entries, count(*) FILTER (r > {ENTRIES}) AS folded_keys, CAST(coalesce(sum(flows) FILTER (r > {ENTRIES}), 0) AS BIGINT) AS folded_flows FROM ({_RANKED})")
+def table_health(spark, sf_dir):
+    """How full a breakdown is, and what its bound folds."""
+    return health.table_health(entries(spark, sf_dir, "hosts"), "hosts", ENTRIES)
+
+
+@register("received", f"SELECT 'udp' AS listener, count(*) AS packets, CAST(sum(CASE WHEN arrival_seq % 11 = 0 THEN 9300 ELSE 72 END) AS BIGINT) AS bytes, count(*) FILTER (arrival_seq % 11 = 0) AS truncated FROM ({_MADE})")
+def received(spark, sf_dir):
+    """Packets and bytes of a listener, and those that its buffer cut off."""
+    long = F.when(F.col("arrival_seq") % 11 == 0, F.repeat(F.lit("00"), 9300)).otherwise(F.hex("payload"))
+    data = encode_v5(wire_rows(spark, sf_dir)).withColumns({"listener": F.lit("udp"), "payload": F.unhex(long)})
+    return health.received(data)
+
+
 from . import rule_queries  # noqa: E402, F401  (registers the rules)

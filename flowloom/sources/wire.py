@@ -94,9 +94,10 @@ def encode_ipfix(rows: DataFrame) -> DataFrame:
     return _from_device(rows, F.concat(head, _layout(IPFIX_LAYOUT, 2), _data(IPFIX_LAYOUT)))
 
 
-def encode_sflow(rows: DataFrame, rate: int = 10) -> DataFrame:
-    """sFlow datagrams with one sample, read by the device itself."""
+def encode_sflow(rows: DataFrame, rate: int = 10, number: str = "first", pool: Column | None = None, drops: Column | None = None) -> DataFrame:
+    """sFlow datagrams with one sample, read by the device itself. `number` is the column that numbers samples and datagrams."""
+    pool, drops = _hex(F.lit(1_000_000) if pool is None else pool, 4), _hex(F.lit(0) if drops is None else drops, 4)
     word = lambda c: _hex(F.col(c), 4)
     record = F.concat(F.lit("0000000300000020"), _hex(F.col("bytes") % 65536, 4), word("protocol"), word("src"), word("dst"), word("src_port"), word("dst_port"), word("tcp_flags"), word("tos"))
-    sample = F.concat(F.lit("0000000100000048"), word("first"), _hex(F.col("input_if"), 4), F.lit(f"{rate:08X}000F424000000000"), word("input_if"), word("output_if"), F.lit("00000001"), record)
-    return _from_device(device(rows), F.concat(F.lit("0000000500000001C0000232000000070000000100000000" + "00000001"), sample))
+    sample = F.concat(F.lit("0000000100000048"), word(number), _hex(F.col("input_if"), 4), F.lit(f"{rate:08X}"), pool, drops, word("input_if"), word("output_if"), F.lit("00000001"), record)
+    return _from_device(device(rows), F.concat(F.lit("0000000500000001C000023200000007"), F.lit("00000001") if number == "first" else word(number), F.lit("00000000" + "00000001"), sample))

@@ -19,6 +19,7 @@ from ..decode.templated import Device, Limits
 from ..operators import publish
 from ..operators.aggregate import BREAKDOWNS, breakdown
 from ..schema import DATAGRAMS
+from .totals import Totals
 
 
 def datagrams(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -54,12 +55,12 @@ def templated(rows: DataFrame, limits: Limits = Limits(), idle_ms: int = 6 * 360
 def flows(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Flow rows of a stream of datagrams of any protocol."""
     df = rows.withColumn("kind", batch.version(F.col("payload")))
-    out = templated(df.where(F.col("kind").isin("netflow_v9", "ipfix")).drop("kind"), limits).where("error is null").drop("error")
-    out = out.unionByName(df.where("kind = 'sflow_v5'").select("arrival_seq", "src_addr", "payload").mapInArrow(batch._sflow, batch.SCHEMA).where("error is null").drop("error"))
+    out = templated(df.where(F.col("kind").isin("netflow_v9", "ipfix")).drop("kind"), limits).where("error is null").drop("error", "note", "amount")
+    out = out.unionByName(df.where("kind = 'sflow_v5'").select("arrival_seq", "src_addr", "payload").mapInArrow(batch._sflow, batch.SCHEMA).where("error is null").drop("error", "note", "amount"))
     for read, kind in ((fixed.netflow5, "netflow_v5"), (fixed.netflow8, "netflow_v8")):
         f = read(df.where(F.col("kind") == kind))[0]
         fields = batch.HEAD | batch.KINDS
-        out = out.unionByName(f.select(*[(F.col(n) if n in f.columns else F.lit(None)).cast(batch._DDL[t]).alias(n) for n, t in fields.items() if n != "error"]))
+        out = out.unionByName(f.select(*[(F.col(n) if n in f.columns else F.lit(None)).cast(batch._DDL[t]).alias(n) for n, t in fields.items() if n not in ("error", "note", "amount")]))
     return out
 
 
@@ -69,21 +70,43 @@ def with_numbers(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"src_ip": F.col("src_addr"), "dst_ip": F.col("dst_addr")} | whole)
 
 
-def publisher(names: list[str], write: Callable[[DataFrame, int], None], enrich: Callable[[DataFrame], DataFrame] = lambda f: f, top_k: int = publish.TOP_K) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: one pass over the batch's flows feeds all breakdowns. `enrich` is called for each batch, so it may reload its tables."""
+def publisher(
+    names: list[str], write: Callable[[DataFrame, int], None], enrich: Callable[[DataFrame], DataFrame] = lambda f: f, top_k: int = publish.TOP_K, min_bytes: int = 0,
+    totals: Totals | None = None, failed: Callable[[str, Exception], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: one pass over the batch's flows feeds all breakdowns. `enrich` is called for each batch, so it may reload its tables.
+
+    With `totals` the samples are running totals since the job began, without it those of the batch alone. A
+    breakdown that fails is told to `failed` and loses its own samples only; without `failed` it stops the batch."""
 
     def put(rows: DataFrame, epoch: int) -> None:
-        held = enrich(with_numbers(rows)).persist()
+        seen = rows if "recv_ts" in rows.columns else rows.withColumn("recv_ts", F.current_timestamp())
+        held = enrich(with_numbers(seen)).persist()
+        parts: list[DataFrame] = []
         try:
-            out = None
             for name in names:
-                entries = breakdown(held, name)
-                kept = entries if name == "exporters" else publish.cut(entries, list(BREAKDOWNS[name].keys), top_k)
-                part = publish.samples(kept, name)
-                out = part if out is None else out.unionByName(part)
-            write(out, epoch)
+                try:
+                    entries = breakdown(held, name)
+                    if totals is None:
+                        kept = entries if name == "exporters" else publish.cut(entries, list(BREAKDOWNS[name].keys), top_k, min_bytes)
+                        part = publish.samples(kept, name)
+                    else:
+                        part = publish.published(*totals.merge(name, entries, epoch), name, top_k, min_bytes)
+                    part = part.persist()
+                    part.count()
+                    parts.append(part)
+                except Exception as e:
+                    if failed is None:
+                        raise
+                    failed(name, e)
+            if parts:
+                out = parts[0]
+                for p in parts[1:]:
+                    out = out.unionByName(p)
+                write(out, epoch)
         finally:
-            held.unpersist()
+            for p in [*parts, held]:
+                p.unpersist()
 
     return put
 
