@@ -614,16 +614,25 @@ def decode_sflow(spark, sf_dir):
     return flows.select("arrival_seq", "exporter", *[F.col(c).cast("long").alias(c) for c in (*_SIMPLE[:-2], "sampling_rate")], "direction")
 
 
-@register("template_expiry")
+def _numbered(spark, sf_dir):
+    return wire_rows(spark, sf_dir).dropDuplicates(["arrival_seq"])
+
+
+_COUNT = "(SELECT max(event_id) + 1 FROM events)"
+_TIMED = f"SELECT arrival_seq, arrival_seq % 8 + 1 AS device, epoch_us(ts) AS us, arrival_seq // {_COUNT} AS turn FROM (SELECT DISTINCT arrival_seq FROM ({_MADE})) JOIN events ON event_id = arrival_seq % {_COUNT}"
+_LIVE = f"SELECT device, us - max(CASE WHEN arrival_seq % 97 = 0 THEN us END) OVER (PARTITION BY device ORDER BY us, turn ROWS UNBOUNDED PRECEDING) <= 3600000000 AS live FROM ({_TIMED})"
+
+
+@register("template_expiry", f"SELECT concat('192.0.2.', CAST(device AS VARCHAR)) AS exporter, count(*) FILTER (live) AS records, count(*) FILTER (NOT coalesce(live, false)) AS missing FROM ({_LIVE}) GROUP BY 1")
 def template_expiry(spark, sf_dir):
-    """Records and missing layouts of each device when layouts are announced now and then and live for an hour of event time."""
-    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("recv"))
-    rows = wire_rows(spark, sf_dir).withColumn("id", F.col("arrival_seq") % 1000).join(e, "id")
-    data = wire.encode_v9(rows, F.col("arrival_seq") % 97 == 0)
-    times = rows.select("arrival_seq", "recv").distinct()
-    seen = data.drop("recv_ts").join(times, "arrival_seq").withColumnRenamed("recv", "recv_ts").withColumn("kind", F.lit("netflow_v9"))
-    ordered = seen.withColumn("arrival_seq", F.unix_micros("recv_ts"))
-    out = batch.templated(ordered, Limits(ttl=3600.0)).where("note is null")
+    """Records and missing layouts of each device when layouts are announced now and then and live for an hour of event time. Rows are dealt over all events' instants."""
+    e = T.table(spark, sf_dir, "events")
+    n = e.agg(F.max("event_id") + 1).scalar()
+    rows = _numbered(spark, sf_dir).withColumn("event_id", F.col("arrival_seq") % n).join(e.select("event_id", F.col("ts").cast("timestamp").alias("recv")), "event_id")
+    rows = rows.withColumn("place", F.unix_micros("recv") * 1000 + F.floor(F.col("arrival_seq") / n))
+    data = wire.encode_v9(rows, F.col("arrival_seq") % 97 == 0).drop("recv_ts").join(rows.select("arrival_seq", F.col("recv").alias("recv_ts"), "place"), "arrival_seq")
+    seen = data.withColumns({"kind": F.lit("netflow_v9"), "arrival_seq": F.col("place")}).drop("place")
+    out = batch.templated(seen, Limits(ttl=3600.0)).where("note is null")
     return out.groupBy("exporter").agg(F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error") == "missing_template").alias("missing"))
 
 
@@ -646,10 +655,6 @@ def decode_errors(spark, sf_dir):
     return health.errors_by_reason(errors).withColumnRenamed("errors", "n")
 
 
-def _numbered(spark, sf_dir):
-    return wire_rows(spark, sf_dir).dropDuplicates(["arrival_seq"])
-
-
 _GAPS = "CAST(max(arrival_seq) - min(arrival_seq) + 1 - count(DISTINCT arrival_seq) AS BIGINT) AS missed"
 
 
