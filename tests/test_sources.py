@@ -239,3 +239,42 @@ def test_limits_of_a_device():
     assert d.decode(v9(2), 0, 20.0)[1] == []  # the first has been idle and makes room
     notes = {(v, o, k): n for v, o, k, n in d.notes()}
     assert notes["", None, "domains_refused"] == 1 and notes["", None, "layouts_refused"] == 1 and notes["", None, "unread 0:9999"] == 1
+
+
+# -- NetFlow 8, from bytes put together by the public record layouts
+
+_S = (3, 40, 5000, 1000, 4000)  # flows, packets, bytes, first, last
+_A, _B = bytes([10, 1, 2, 3]), bytes([192, 0, 2, 9])
+V8_RECORDS = {
+    1: (pack(">5I4H", *_S, 64500, 64501, 3, 4), {"src_as": 64500, "dst_as": 64501, "input_if": 3, "output_if": 4}),
+    2: (pack(">5IBBHHH", *_S, 17, 0, 0, 5353, 53), {"protocol": 17, "src_port": 5353, "dst_port": 53}),
+    3: (pack(">5I4sBBHHH", *_S, _A, 24, 0, 64500, 3, 0), {"src_addr": _A, "src_mask": 24, "src_as": 64500, "input_if": 3}),
+    4: (pack(">5I4sBBHHH", *_S, _B, 25, 0, 64501, 4, 0), {"dst_addr": _B, "dst_mask": 25, "dst_as": 64501, "output_if": 4}),
+    5: (pack(">5I4s4sBBHHHHH", *_S, _A, _B, 25, 24, 0, 64500, 64501, 3, 4), {"src_addr": _A, "dst_addr": _B, "dst_mask": 25, "src_mask": 24, "src_as": 64500, "dst_as": 64501, "input_if": 3, "output_if": 4}),
+    6: (pack(">4s4IHBBII", _B, *_S[1:], 4, 184, 0, 7, 8), {"dst_addr": _B, "output_if": 4, "tos": 184, "flows": 1}),
+    7: (pack(">4s4s4IHHBBHII", _B, _A, *_S[1:], 4, 3, 184, 0, 0, 7, 8), {"dst_addr": _B, "src_addr": _A, "output_if": 4, "input_if": 3, "tos": 184, "flows": 1}),
+    8: (pack(">4s4sHH4IHHBBBBII", _B, _A, 53, 5353, *_S[1:], 4, 3, 184, 17, 0, 0, 7, 8), {"dst_addr": _B, "src_addr": _A, "dst_port": 53, "src_port": 5353, "output_if": 4, "input_if": 3, "tos": 184, "protocol": 17, "flows": 1}),
+    9: (pack(">5I4HBBH", *_S, 64500, 64501, 3, 4, 184, 0, 0), {"src_as": 64500, "dst_as": 64501, "input_if": 3, "output_if": 4, "tos": 184}),
+    10: (pack(">5IBBHHHHH", *_S, 17, 184, 0, 5353, 53, 3, 4), {"protocol": 17, "tos": 184, "src_port": 5353, "dst_port": 53, "input_if": 3, "output_if": 4}),
+    11: (pack(">5I4sBBHHH", *_S, _A, 24, 184, 64500, 3, 0), {"src_addr": _A, "src_mask": 24, "tos": 184, "src_as": 64500, "input_if": 3}),
+    12: (pack(">5I4sBBHHH", *_S, _B, 25, 184, 64501, 4, 0), {"dst_addr": _B, "dst_mask": 25, "tos": 184, "dst_as": 64501, "output_if": 4}),
+    13: (pack(">5I4s4sBBBBHHHH", *_S, _A, _B, 25, 24, 184, 0, 64500, 64501, 3, 4), {"src_addr": _A, "dst_addr": _B, "dst_mask": 25, "src_mask": 24, "tos": 184, "src_as": 64500, "dst_as": 64501, "input_if": 3, "output_if": 4}),
+    14: (pack(">5I4s4sBBBBHHHH", *_S, _A, _B, 25, 24, 184, 17, 5353, 53, 3, 4), {"src_addr": _A, "dst_addr": _B, "dst_mask": 25, "src_mask": 24, "tos": 184, "protocol": 17, "src_port": 5353, "dst_port": 53, "input_if": 3, "output_if": 4}),
+}
+
+
+def test_netflow8_records(spark):
+    from flowloom.decode import fixed
+
+    head = lambda m, n: pack(">HHIIIIBBBBI", 8, n, 10_000, 1_756_200_000, 0, 77, 1, 2, m, 2, 0)
+    rows = [(m, "192.0.2.1", 2055, bytearray(head(m, 2) + record * 2)) for m, (record, _) in V8_RECORDS.items()]
+    flows, errors = fixed.netflow8(spark.createDataFrame(rows, "arrival_seq long, src_addr string, src_port int, payload binary"))
+    assert errors.count() == 0
+    got = flows.collect()
+    assert len(got) == 28
+    for r in got:
+        want = {"flows": 3, "packets": 40, "bytes": 5000, "odid": r.arrival_seq, "start_us": 1_756_199_991_000_000, "end_us": 1_756_199_994_000_000} | V8_RECORDS[r.arrival_seq][1]
+        for name in ("flows", "packets", "bytes", "src_addr", "dst_addr", "src_port", "dst_port", "protocol", "tos", "src_as", "dst_as", "src_mask", "dst_mask", "input_if", "output_if", "odid", "start_us", "end_us"):
+            value = r[name]
+            value = bytes(value) if isinstance(value, bytes | bytearray) else value
+            assert value == want.get(name, 0 if name in fixed.ZERO_MEANS_NONE else None), (r.arrival_seq, name)
