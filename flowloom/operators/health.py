@@ -22,6 +22,11 @@ def last_flow(flows: DataFrame, seen: str = "arrival_seq") -> DataFrame:
     return flows.groupBy("exporter").agg(F.max(seen).alias("last_flow"))
 
 
+def last_datagram(datagrams: DataFrame) -> DataFrame:
+    """When each device was last heard, decodable or not."""
+    return datagrams.groupBy(F.col("src_addr").alias("exporter")).agg(F.max("recv_ts").alias("last_datagram"))
+
+
 def errors_by_reason(errors: DataFrame) -> DataFrame:
     return errors.groupBy("exporter", "version", "reason").agg(F.count("*").alias("errors"))
 

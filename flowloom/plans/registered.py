@@ -16,7 +16,7 @@ from ..functions.fixed import DSCP, PROTOCOLS, SERVICES, TCP_FLAGS
 from ..operators import distributions, enrich, health, publish, tracking
 from ..operators.aggregate import BREAKDOWNS, bounded, breakdown, idle_sessions, with_service_port
 from ..sources import driver_tables as T
-from ..sources import wire
+from ..sources import exposition, wire
 from ..sources.wire import encode_v5, encode_v8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +364,63 @@ def hist_admitted(spark, sf_dir):
     return distributions.kept(hist_flow_bytes(spark, sf_dir), distributions.admitted(T.flows(spark, sf_dir), 5))
 
 
+# -- readings of single fields, and published text
+
+
+_OPTIONS = "SELECT l_partkey % 5 AS interval, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey % 7 END AS space, l_orderkey % 100 AS population, l_linenumber % 4 AS size, l_partkey % 3 AS random, CASE WHEN l_orderkey % 3 > 0 THEN 10 END AS plain FROM lineitem"
+
+
+@register(
+    "options_rate",
+    f"SELECT rate, count(*) AS n FROM (SELECT CAST(CASE WHEN space IS NOT NULL AND interval > 0 THEN (interval + space) // interval WHEN size > 0 AND population > 0 THEN population // size WHEN random > 0 THEN random ELSE coalesce(plain, 0) END AS BIGINT) AS rate FROM ({_OPTIONS})) GROUP BY 1",
+)
+def options_rate(spark, sf_dir):
+    ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    rate = records.options_rate(pk % 5, F.when(sk % 2 == 0, sk % 7), ok % 100, ln % 4, pk % 3, F.when(ok % 3 > 0, 10))
+    return T.table(spark, sf_dir, "lineitem").select(rate.alias("rate")).groupBy("rate").agg(F.count("*").alias("n"))
+
+
+_RAW = "CASE l_partkey % 4 WHEN 0 THEN '   ' WHEN 1 THEN repeat('long name ', CAST(l_suppkey % 40 AS INTEGER)) WHEN 2 THEN concat('app ', CAST(l_suppkey % 9 AS VARCHAR), '   ') ELSE concat(' é', CAST(l_orderkey % 5 AS VARCHAR)) END"
+
+
+@register("vendor_names", f"SELECT name, count(*) AS n FROM (SELECT CASE WHEN octet_length(encode(t)) BETWEEN 1 AND 255 THEN t END AS name FROM (SELECT rtrim({_RAW}, ' ') AS t FROM lineitem)) GROUP BY 1")
+def vendor_names(spark, sf_dir):
+    raw = F.expr(_RAW.replace("VARCHAR", "STRING").replace("INTEGER", "INT")).cast("binary")
+    return T.table(spark, sf_dir, "lineitem").select(records.clean_name(raw).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@register("country_label", f"SELECT exporter, coalesce(nullif(src_country, ''), 'unknown') AS src_country, coalesce(nullif(dst_country, ''), 'unknown') AS dst_country, direction, bytes FROM ({breakdown_sql('countries')})")
+def country_label(spark, sf_dir):
+    return publish.labelled(entries(spark, sf_dir, "countries"), "countries").select("exporter", "src_country", "dst_country", "direction", "bytes")
+
+
+@register(
+    "exposition_lines",
+    f"SELECT concat('{publish.PREFIX}_dscp_', m, '_total{{direction=\"', direction, '\",dscp=\"', {_cases('dscp', DSCP)}, '\",exporter=\"', exporter, '\"}} ', CAST(v AS VARCHAR)) AS line FROM (SELECT *, unnest(['bytes', 'packets', 'flows']) AS m, unnest([CASE WHEN bytes_measured THEN bytes END, CASE WHEN packets_measured THEN packets END, flows]) AS v FROM ({breakdown_sql('dscp')})) WHERE v IS NOT NULL "
+    f"UNION ALL SELECT concat('# TYPE {publish.PREFIX}_dscp_', m, '_total counter') FROM (SELECT unnest(['bytes', 'packets', 'flows']) AS m)",
+)
+def exposition_lines(spark, sf_dir):
+    return exposition.exposition(publish.samples(entries(spark, sf_dir, "dscp"), "dscp"))
+
+
+@register(
+    "published_exporters",
+    f"SELECT concat('{publish.PREFIX}_exporter_', m, '_total') AS metric, labels_text, CAST(v AS DOUBLE) AS value FROM (SELECT concat_ws('|', exporter, version, CAST(odid AS VARCHAR), direction) AS labels_text, unnest(['bytes', 'packets', 'flows']) AS m, unnest([CASE WHEN bytes_measured THEN bytes END, CASE WHEN packets_measured THEN packets END, flows]) AS v FROM ({breakdown_sql('exporters')})) WHERE v IS NOT NULL "
+    f"UNION ALL SELECT concat('{publish.PREFIX}_exporter_', unnest(['bytes', 'packets', 'flows']), '_total'), 'other|other|other|other', 0.0::DOUBLE",
+)
+def published_exporters(spark, sf_dir):
+    """All devices, whatever the cut, and the row of the rest, which is there also when nothing was folded."""
+    keys = list(BREAKDOWNS["exporters"].keys)
+    out = publish.published(*bounded(entries(spark, sf_dir, "exporters"), keys, ENTRIES), "exporters", 1, 1 << 40)
+    return out.select("metric", F.concat_ws("|", *[F.element_at("labels", k) for k in keys]).alias("labels_text"), "value")
+
+
+@register("last_datagram", "SELECT concat('192.0.2.', CAST(user_id % 8 AS VARCHAR)) AS exporter, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1")
+def last_datagram(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select(F.concat(F.lit("192.0.2."), (F.col("user_id") % 8).cast("string")).alias("src_addr"), F.col("ts").cast("timestamp").alias("recv_ts"))
+    return health.last_datagram(e).select("exporter", F.unix_micros("last_datagram").alias("last_us"))
+
+
 # -- counters near the end of their range, and addresses of both families
 
 _HUGE = "CAST(bytes AS HUGEINT) * 100000000000 * greatest(sampling_rate, 1)"
