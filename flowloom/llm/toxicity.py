@@ -186,13 +186,16 @@ def fit_windows(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, false_share: float = 0.015) -> None:
     """The logistic function from features of texts that the dictionaries have not seen."""
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    model.weights = _logistic((x - model.mean) / model.scale, y, ridge=max(1e-2, 20 / len(y)))  # few texts: smaller weights
+    model.weights = _logistic((x - model.mean) / model.scale, y, ridge=max(1e-2, 5 / len(y)))  # few texts: smaller weights
     margin = (x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
     order = np.unique(margin)
     cuts = np.append((order[1:] + order[:-1]) / 2, order[-1] + 1)
-    plain = margin[y == 0]
-    # of few texts the greatest says little: at least where a normal distribution has 0.015 beyond it
-    cut = max(next(c for c in cuts if (plain >= c).mean() <= false_share), plain.mean() + 2.17 * plain.std() if len(plain) < 200 else -np.inf)
+    plain, marked = margin[y == 0], margin[y == 1]
+    cut = next(c for c in cuts if (plain >= c).mean() <= false_share)
+    if marked.min() > plain.max():  # nothing in between: the middle of the gap
+        cut = (marked.min() + plain.max()) / 2
+    elif len(plain) * false_share < 1:  # so few texts cannot show this share: at least where a normal distribution has 0.015 beyond it
+        cut = max(cut, plain.mean() + 2.17 * plain.std())
     model.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
 
 
