@@ -329,13 +329,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class that names it, all columns kept; of rows that repeat its id, the one with the least hash of the text. Rows without id stay."""
-    found = durable(classes(docs, key, text).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct())
-    small = small_enough(found, BROADCAST_ROWS)
-    named = docs.join(small, docs[key] == small["_keep_id"], "left_semi")
-    again = durable(named.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.xxhash64(text)).alias("_first")).where("_n > 1").select(F.col(key).alias("_again"), "_first"))
-    if not again.limit(1).count():
-        return named.unionByName(docs.where(F.col(key).isNull()))
-    single = named.join(again, named[key] == again["_again"], "left_anti")
-    repeated = named.join(again, (named[key] == again["_again"]) & F.xxhash64(named[text]).eqNullSafe(again["_first"]), "left_semi").dropDuplicates([key])
-    return single.unionByName(repeated).unionByName(docs.where(F.col(key).isNull()))
+    """The row of each class that names it, all columns kept; of rows that repeat its id, the one with the least hash of the text. Rows without id stay.
+
+    Documents are matched with the ids that go, which are fewer than those that stay."""
+    ids = classes(docs, key, text).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    ids = durable(ids.where("not kept or n > 1"))
+    gone = small_enough(ids.where("not kept").select(F.col("doc_id").alias("_gone")), BROADCAST_ROWS)
+    stay = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    several = ids.where("kept").select(F.col("doc_id").alias("_id"))
+    if not several.limit(1).count():
+        return stay
+    again = stay.join(small_enough(several, BROADCAST_ROWS), stay[key] == F.col("_id")).groupBy(F.col("_id").alias("_again")).agg(F.min(F.xxhash64(stay[text])).alias("_first"))
+    again = durable(again)
+    single = stay.join(again, stay[key] == again["_again"], "left_anti")
+    repeated = stay.join(again, (stay[key] == again["_again"]) & F.xxhash64(stay[text]).eqNullSafe(again["_first"]), "left_semi").dropDuplicates([key])
+    return single.unionByName(repeated)
