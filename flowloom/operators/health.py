@@ -61,7 +61,8 @@ def metrics(flows: DataFrame, errors: DataFrame | None = None, devices: DataFram
     """The long table of the gauges and counters above, of decoding errors, and of what devices' datagrams say (`decode.health`)."""
     out = _rows(flows_by_version(flows), "flows_total", ["exporter", "version"], "flows")
     out = out.unionByName(_rows(last_flow(flows), "last_flow", ["exporter"], "last_flow"))
-    out = out.unionByName(_rows(clock_inversions(flows).where("clocked > 0"), "clock_inversions_total", ["exporter", "odid"], "inversions"))
+    if devices is None:  # a device's own count is taken where it is known: decoded records have no clocks that run backwards
+        out = out.unionByName(_rows(clock_inversions(flows).where("clocked > 0"), "clock_inversions_total", ["exporter", "odid"], "inversions"))
     out = out.unionByName(_rows(zero_flow_aggregates(flows), "aggregate_zero_flows_total", ["exporter", "odid"], "zero"))
     out = out.unionByName(_rows(sampling_in_force(flows).where("sampled"), "sampling_rate", ["exporter", "odid"], "rate"))
     if errors is not None:

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..decode import batch
+from ..decode import health as device_health
 from ..decode.templated import Limits
-from ..operators import enrich, publish
+from ..operators import enrich, health, publish
 from ..operators.aggregate import BREAKDOWNS, bounded, breakdown
 from ..streaming.jobs import with_numbers
 
@@ -44,6 +45,12 @@ def from_datagrams(datagrams: DataFrame, dims: dict[str, DataFrame], settings: S
     return enriched(with_numbers(flows), dims)
 
 
+def health_metrics(datagrams: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Health counters and gauges of the devices that sent the datagrams."""
+    flows, errors = batch.decode(datagrams, settings.limits)
+    return health.metrics(flows, errors, device_health.of_datagrams(datagrams, settings.limits))
+
+
 def published(flows: DataFrame, settings: Settings = Settings(), dims: dict[str, DataFrame] | None = None) -> DataFrame:
     """Metrics of all breakdowns whose columns the flows have, and info families of the tables given.
 

@@ -15,6 +15,7 @@ from flowloom.decode import health
 from flowloom.decode.templated import Device, Limits
 from flowloom.functions import addresses, records
 from flowloom.operators import distributions, enrich
+from flowloom.plans.pipeline import health_metrics
 from flowloom.sources import exposition, files, mmdb, server
 
 from . import wire
@@ -229,6 +230,15 @@ def test_health_of_datagrams(spark):
     assert rows["netflow_v9", "sequence_missed"] == 3 and rows["netflow_v9", "templates"] == 1
 
 
+def test_health_metrics(spark):
+    data = datagrams(spark, wire.v9(wire.v9_template(), wire.flowset(300, wire.V9_RECORD), seq=1), wire.v9(wire.flowset(999, b"1234"), seq=2), b"xx")
+    rows = [(r.metric.removeprefix("flowloom_"), dict(r.labels), r.value) for r in health_metrics(data).collect()]
+    assert ("flows_total", "netflow_v9", 1.0) in [(m, x.get("version"), v) for m, x, v in rows]
+    errors = {x["reason"]: v for m, x, v in rows if m == "decode_errors_total"}
+    assert errors == {"missing_template": 1.0, "malformed": 1.0}
+    assert [v for m, x, v in rows if m == "templates"] == [1.0] and [v for m, _, v in rows if m == "strings_refused_total"] == [0.0]
+
+
 def test_limits_of_a_device():
     d = Device(Limits(domains=1, ttl=10.0, layouts=1))
     v9 = lambda odid, *sets: pack(">HHIIII", 9, 1, 0, 0, 1, odid) + b"".join(sets)
