@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from struct import pack
 
 import pyarrow as pa
@@ -14,8 +15,8 @@ def _escaped(text: Column) -> Column:
 
 
 def _number(value: Column) -> Column:
-    """Whole numbers without a fraction, others as they are."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    """Whole numbers that fit in 63 bits without a fraction, others as they are."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 2.0**63)
     return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
 
 
@@ -26,10 +27,13 @@ def text_lines(metrics: DataFrame) -> DataFrame:
     return metrics.select("metric", F.concat("metric", names, F.lit(" "), _number(F.col("value"))).alias("line"))
 
 
-def exposition(metrics: DataFrame, kind: str = "counter") -> DataFrame:
-    """Lines in order: each metric's type line, then its samples."""
+def exposition(metrics: DataFrame, kind: str = "counter", families: Iterable[str] = ()) -> DataFrame:
+    """Lines in order: each metric's type line, then its samples. Metrics named in `families` have a type line also where all their samples are withheld."""
     lines = text_lines(metrics)
-    types = lines.select("metric").distinct().select("metric", F.concat(F.lit("# TYPE "), "metric", F.lit(f" {kind}")).alias("line"))
+    names = lines.select("metric")
+    if families:
+        names = names.unionByName(metrics.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, families))).alias("metric")))
+    types = names.distinct().select("metric", F.concat(F.lit("# TYPE "), "metric", F.lit(f" {kind}")).alias("line"))
     both = types.withColumn("rank", F.lit(0)).unionByName(lines.withColumn("rank", F.lit(1)))
     return both.orderBy("metric", "rank", "line").select("line")
 

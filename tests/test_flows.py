@@ -87,6 +87,13 @@ def test_published_text(spark):
     assert names[0] == "" and all(names[x.labels[0]] == "__name__" for x in series.collect())
 
 
+def test_type_lines_of_withheld_families(spark):
+    f = make(spark, {"bytes": None, "packets": None}, {"flows": 2 * 10**15})
+    lines = [r.line for r in exposition.exposition(publish.samples(breakdown(f, "exporters"), "exporters"), families=publish.families("exporters")).collect()]
+    assert [x.split()[2] for x in lines if x.startswith("#")] == publish.families("exporters")[:1] + publish.families("exporters")[2:] + publish.families("exporters")[1:2]
+    assert [x.split()[-1] for x in lines if not x.startswith("#")] == ["2000000000000001"]
+
+
 def test_withheld_totals(spark):
     f = make(spark, *[{"src_ip": i, "bytes": b} for i, b in enumerate((50, 5000, None, 3000), 1)])
     r = one(publish.withheld(breakdown(f, "hosts"), "hosts", 2))
