@@ -84,8 +84,13 @@ def test_same_as_one_by_one(seed, limits, least, monkeypatch):
     assert len(calls) < len(rows)  # some were read as columns
 
 
-def test_plain_datagrams_are_not_read_one_by_one(monkeypatch):
-    rows = [(i, "192.0.2.1", 2055, wire.v9(wire.v9_template(), wire.flowset(300, wire.V9_RECORD), seq=i), 0.0) for i in range(1000)]
+V9 = lambda i: wire.v9(wire.v9_template(), wire.flowset(300, wire.V9_RECORD), seq=i)
+IPFIX = lambda i: wire.ipfix(wire.IPFIX_TEMPLATE, wire.flowset(400, wire.IPFIX_RECORD), seq=i)
+
+
+@pytest.mark.parametrize("made", [V9, IPFIX])
+def test_plain_datagrams_are_not_read_one_by_one(made, monkeypatch):
+    rows = [(i, "192.0.2.1", 2055, made(i), 0.0) for i in range(1000)]
     calls = []
     bulk = Bulk(Limits(), "192.0.2.1", batch.TYPES, batch._row)
     decode = bulk.device.decode
