@@ -62,7 +62,7 @@ def sflow_health(datagrams: DataFrame) -> DataFrame:
 def templated_health(datagrams: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """What the state of NetFlow 9 and IPFIX devices counts; `unread e:n` names an element that layouts announce and nothing reads."""
     df = datagrams.withColumn("kind", batch.version(F.col("payload"))).where(F.col("kind").isin("netflow_v9", "ipfix"))
-    notes = batch.templated(df, limits).where("note is not null")
+    notes = batch.templated(df, limits, records=False).where("note is not null")
     return notes.select("exporter", "version", "odid", F.col("note").alias("metric"), F.col("amount").alias("value"))
 
 

@@ -116,3 +116,15 @@ def test_trackers_see_all(seed):
     for part in zip(*(np.array_split(c, 4) for c in (n, records, engines, whole)), strict=True):
         all_.see_all(*part)
     assert one.__dict__ == all_.__dict__
+
+
+def test_health_makes_no_records(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from flowloom.decode import health
+
+    rows = [(i, None, "192.0.2.1", 2055, bytearray(V9(i + i // 50)), "udp") for i in range(200)]
+    data = spark.createDataFrame(rows, "arrival_seq long, recv_ts timestamp, src_addr string, src_port int, payload binary, listener string")
+    assert health.templated_health(data).count() == batch.templated(data.withColumn("kind", batch.version(F.col("payload"))), records=False).count()
+    got = {r.metric: r.value for r in health.templated_health(data).where("odid is not null").collect()}
+    assert got == {"sequence_missed": 3, "templates": 1, "sampling_unresolved": 200, "clock_inversions": 0}
