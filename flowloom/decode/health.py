@@ -32,18 +32,17 @@ def fixed_losses(datagrams: DataFrame) -> DataFrame:
     head = F.when(F.col("version") == "netflow_v5", fixed.V5_HEADER).otherwise(fixed.V8_HEADER)
     odid = F.when(F.col("version") == "netflow_v8", number(22, 1)).otherwise(F.lit(0).cast("long"))
     rows = df.where(F.octet_length("payload") >= head).select(F.col("src_addr").alias("exporter"), "version", odid.alias("odid"), "arrival_seq", number(16, 4).alias("seq"), number(2, 2).alias("records"), number(20, 2).alias("engine"))
-    return _rows(missed(rows, SESSION, "arrival_seq", ["seq", "records", "engine"], RecordLoss), "sequence_missed", "missed")
+    return _rows(missed(rows, SESSION, "arrival_seq", ["seq", "records", "engine"], RecordLoss, datagrams), "sequence_missed", "missed")
 
 
 def _readings(batches):
-    """One row for each sFlow datagram (source NULL) and one for each sampler in it."""
+    """One row for each sampler in sFlow datagrams."""
     for b in batches:
         out = []
         for x in b.to_pylist():
             _, _, about = sflow.decode(bytes(x["payload"]))
             if about is not None:
                 base = {"exporter": x["src_addr"], "version": "sflow_v5", "odid": about["odid"], "arrival_seq": x["arrival_seq"]}
-                out.append(base | {"place": -1, "source": None, "number": about["sequence"], "rate": 0, "pool": 0, "drops": 0})
                 out += [base | dict(zip(("place", "source", "number", "rate", "pool", "drops"), (i, *s), strict=True)) for i, s in enumerate(about["samplers"])]
         yield pa.RecordBatch.from_pylist(out, schema=_READING)
 
@@ -52,9 +51,12 @@ def sflow_health(datagrams: DataFrame) -> DataFrame:
     """Lost datagrams of sFlow agents, and how their samplers' pools and drops grew."""
     df = datagrams.where(batch.version(F.col("payload")) == "sflow_v5").select("arrival_seq", "src_addr", "payload")
     said = df.mapInArrow(_readings, "exporter string, version string, odid long, arrival_seq long, place long, source long, number long, rate long, pool long, drops long")
-    lost = missed(said.where("source is null"), SESSION, "arrival_seq", ["number"], PacketLoss)
-    order = said.where("source is not null").withColumn("at", F.col("arrival_seq") * 65536 + F.col("place"))
-    pools = missed(order, SESSION | {"source": "long"}, "at", ["number", "rate", "pool", "drops"], SamplePool)
+    number = lambda at: unsigned(F.col("payload"), at, 4)
+    family, head = number(4), F.when(number(4) == 1, 12).otherwise(24)  # words up to the agent's address, and that of 4 or 16 bytes
+    heads = df.where(family.isin(1, 2) & (F.octet_length("payload") >= head + 16)).select(F.col("src_addr").alias("exporter"), F.lit("sflow_v5").alias("version"), number(head).alias("odid"), "arrival_seq", number(head + 4).alias("number"))
+    lost = missed(heads, SESSION, "arrival_seq", ["number"], PacketLoss, datagrams)
+    at = F.col("arrival_seq") * 65536
+    pools = missed(said.withColumn("at", at + F.col("place")), SESSION | {"source": "long"}, "at", ["number", "rate", "pool", "drops"], SamplePool, datagrams.select(at.alias("at")))
     pools = pools.groupBy("exporter", "version", "odid").agg(F.sum("pool").alias("pool"), F.sum("drops").alias("drops"))
     return _rows(lost, "sequence_missed", "missed").unionByName(_rows(pools, "sample_pool", "pool")).unionByName(_rows(pools, "samples_dropped", "drops"))
 

@@ -137,3 +137,26 @@ def test_template_expiry_makes_its_rows_once(spark):
 
     plan = registered.QUERIES["template_expiry"](spark, str(oracle.SF))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem.parquet") <= 1 and plan.count("Join ") == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("part", [7, 400, 1 << 20])
+def test_missed_in_parts(spark, seed, part):
+    """Sessions cut into parts count as whole ones, with late numbers, restarts and repeated ones where the parts meet."""
+    from flowloom.operators.tracking import SamplePool, missed
+
+    r, rows = random.Random(seed), []
+    last = {}
+    for i in range(2500):
+        k = r.choice((1, 1, 1, 2))
+        last[k] = (last.get(k, (1 << 32) - 800) + r.choice((0, 1, 1, 1, 2, 5, 40))) % (1 << 32) if r.random() < 0.995 else r.randrange(1 << 32)
+        late = r.choice((1, 3, 500, 1024, 1025, 3000)) if r.random() < r.choice((0.02, 0.6)) else 0
+        rows.append((k, i * i, (last[k] - late) % (1 << 32), r.choice((0, 1, 30)), i // 900, i * 10 - late))
+    df = spark.createDataFrame(rows, "k long, at long, n long, records long, engine long, pool long")
+    for tracker, fields in ((PacketLoss, ["n"]), (RecordLoss, ["n", "records", "engine"]), (SamplePool, ["n", "engine", "pool", "records"])):
+        want = {}
+        for x in rows:
+            about = dict(zip(df.columns, x, strict=True))
+            want.setdefault(x[0], tracker()).see(*(about[f] for f in fields))
+        got = {x.k: [x[m] for m in tracker.measures] for x in missed(df, {"k": "long"}, "at", fields, tracker, part=part).collect()}
+        assert got == {k: [getattr(t, m) for m in tracker.measures] for k, t in want.items()}
