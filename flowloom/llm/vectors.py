@@ -13,7 +13,8 @@ are linked.
    nearer to a kept one than to the node, fill up with the nearest dropped) its at most `DEGREE`
    neighbours, which get it as theirs.
 4. A node's lists from all its shards are united.
-5. Every node of a shard searches every part of it: a greedy beam search from the medoid, then
+5. Every node of a shard searches every part of it: its own part from where it stands, with `ROUNDS`
+   rounds of its nearest, another part by a greedy beam search from the medoid; then
    expansion of all nodes in range (with some slack) along links of either direction until none is new. What is in range is verified
    in double precision. A pair that shares several shards counts in the first.
 6. The recall is audited: `AUDIT` nodes, picked by hash, are compared with all nodes of their label;
@@ -43,6 +44,7 @@ LEAST = 0.93
 TARGET, PART, CENTROIDS, SAMPLE = 2500, 5000, 256, 40_000
 DEGREE, BEAM, ALPHA, WIDTH = 32, 64, 1.2, 4
 SLACK = 0.12
+ROUNDS = 2
 AUDIT, AUDIT_MOST, LINKS, RECALL = 200, 12_800, 100, 0.98
 EXACT = 0  # the effort that compares without a graph
 
@@ -87,29 +89,41 @@ class Graph:
         value[:, 0] = queries @ self.x[self.medoid]
         seen[:, self.medoid] = value[:, 0]
         open_[:, 0] = True
-        row = np.arange(b)
-        while open_.any():
-            rank = np.where(open_, value, -9)
+        row, place = np.arange(b), np.empty(b * n, np.int32)
+        flat = seen.reshape(-1)
+        while True:
+            alive = np.flatnonzero(open_.any(axis=1))  # the others have come to their end
+            if not len(alive):
+                break
+            some = slice(None) if len(alive) == b else alive
+            held, worth, opened = beam[some], value[some], open_[some]
+            rank = np.where(opened, worth, -9)
             pick = np.argpartition(-rank, WIDTH - 1, axis=1)[:, :WIDTH]
-            chosen = np.take_along_axis(open_, pick, 1)
-            nodes = np.where(chosen, np.take_along_axis(beam, pick, 1), -1)
-            np.put_along_axis(open_, pick, False, 1)
-            near = np.where(nodes[:, :, None] >= 0, self.near[nodes], -1).reshape(b, -1)
-            r, c = np.nonzero(near >= 0)
-            node = near[r, c].astype(np.int64)
-            new = seen[r, node] == -2
-            r, c, node = r[new], c[new], node[new]
-            once = np.unique(r * n + node, return_index=True)[1]
-            r, c, node = r[once], c[once], node[once]
-            s = np.einsum("ij,ij->i", queries[r], self.x[node])
-            seen[r, node] = s
-            fresh_nodes = np.full(near.shape, -1, np.int64)
-            fresh_value = np.full(near.shape, -3, np.float32)
-            fresh_nodes[r, c], fresh_value[r, c] = node, s
-            all_nodes, all_value = np.hstack([beam, fresh_nodes]), np.hstack([value, fresh_value])
-            all_open = np.hstack([open_, fresh_nodes >= 0])
-            best = np.argpartition(-all_value, self.beam - 1, axis=1)[:, :self.beam]
-            beam, value, open_ = all_nodes[row[:, None], best], all_value[row[:, None], best], all_open[row[:, None], best]
+            chosen = np.take_along_axis(opened, pick, 1)
+            nodes = np.where(chosen, np.take_along_axis(held, pick, 1), -1)
+            np.put_along_axis(opened, pick, False, 1)
+            near = np.where(nodes[:, :, None] >= 0, self.near[nodes], -1).reshape(len(alive), -1)
+            beam_row, c = np.nonzero(near >= 0)
+            node = near[beam_row, c].astype(np.int64)
+            key = row[some][beam_row] * n + node
+            new = flat[key] == -2
+            key = _once(key[new], place)
+            node, beam_row = key % n, np.searchsorted(row[some], key // n)
+            s = np.einsum("ij,ij->i", queries[key // n], self.x[node])
+            flat[key] = s
+            better = s > worth.min(axis=1)[beam_row]  # others do not enter the beam
+            beam_row, node, s = beam_row[better], node[better], s[better]
+            count = np.bincount(beam_row, minlength=len(alive))
+            if len(s):
+                at = np.arange(len(s)) - (np.cumsum(count) - count)[beam_row]
+                shape = len(alive), int(count.max())
+                fresh_nodes, fresh_value = np.full(shape, -1, np.int64), np.full(shape, -3, np.float32)
+                fresh_nodes[beam_row, at], fresh_value[beam_row, at] = node, s
+                all_value = np.hstack([worth, fresh_value])
+                best = np.argpartition(-all_value, self.beam - 1, axis=1)[:, :self.beam]
+                held, opened = (np.take_along_axis(np.hstack(x), best, 1) for x in ((held, fresh_nodes), (opened, fresh_nodes >= 0)))
+                worth = np.take_along_axis(all_value, best, 1)
+            beam[some], value[some], open_[some] = held, worth, opened
         return beam, seen
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -164,13 +178,15 @@ class Graph:
         more = np.full((len(nodes), width), -1, np.int64)
         more[np.repeat(np.arange(len(nodes)), count), np.arange(len(to)) - np.repeat(start, count)] = extra
         joint = np.hstack([self.near[nodes].astype(np.int64), more])
-        full = (joint >= 0).sum(axis=1) > self.degree
+        held = (joint >= 0).sum(axis=1)
+        full = held > self.degree
         if (~full).any():
             packed = -np.sort(-joint[~full], axis=1)
             self.near[nodes[~full]] = packed[:, :self.degree]
-        for a in range(0, int(full.sum()), 256):
-            rows = np.flatnonzero(full)[a : a + 256]
-            self.near[nodes[rows]] = self.prune(nodes[rows], joint[rows])
+        longest_last = np.flatnonzero(full)[np.argsort(held[full], kind="stable")]  # lists of about one length are pruned together, as all are filled up to the longest
+        for a in range(0, len(longest_last), 256):
+            rows = longest_last[a : a + 256]
+            self.near[nodes[rows]] = self.prune(nodes[rows], -np.sort(-joint[rows], axis=1)[:, : held[rows[-1]]])
 
     def _both_ways(self) -> tuple[np.ndarray, np.ndarray]:
         """Every node's neighbours and the nodes that it is a neighbour of: first places, and all of them."""
@@ -184,23 +200,54 @@ class Graph:
 
     def in_range(self, queries: np.ndarray, least: float) -> np.ndarray:
         """Mask [query, node] of the nodes found with similarity of about `least` or more."""
-        n = len(self.x)
-        _, seen = self.search(queries)
-        expanded = np.zeros(seen.shape, bool)
+        seen = self.search(queries)[1]
+        self._expand(queries, seen, least - SLACK)
+        return seen >= least - 1e-4
+
+    def around(self, own: np.ndarray, least: float) -> np.ndarray:
+        """`in_range` of the graph's own nodes `own`. Their search starts where they are, as their neighbours were found when they were inserted, and not at the medoid."""
+        b, n = len(own), len(self.x)
+        queries, row = self.x[own], np.arange(b)
+        seen = np.full((b, n), -2, np.float32)
+        seen[row, own] = 2  # before all others
+        done = np.zeros((b, n), bool)
+        todo = row * n + own
+        for _ in range(ROUNDS + 1):
+            done.reshape(-1)[todo] = True
+            self._see(queries, seen, todo)
+            k = min(2 * WIDTH, n)
+            best = (row[:, None] * n + np.argpartition(-np.where(done, -9, seen), k - 1, axis=1)[:, :k]).ravel()
+            todo = best[(seen.reshape(-1)[best] > -2) & ~done.reshape(-1)[best]]
+        self._expand(queries, seen, least - SLACK)
+        return seen >= least - 1e-4
+
+    def _see(self, queries: np.ndarray, seen: np.ndarray, pairs: np.ndarray) -> None:
+        """Similarities of queries with what is linked in either direction to a node, for pairs (query * n + node)."""
+        n, flat = len(self.x), seen.reshape(-1)
         start, ends = self._both_ways()
+        r, node = pairs // n, pairs % n
+        count = start[node + 1] - start[node]
+        q = np.repeat(r, count)
+        key = q * n + ends[np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[node], count)]
+        key = _once(key[flat[key] == -2], np.empty(seen.size, np.int32))
+        flat[key] = np.einsum("ij,ij->i", queries[key // n], self.x[key % n])
+
+    def _expand(self, queries: np.ndarray, seen: np.ndarray, least: float) -> None:
+        """Similarities of all that links lead to from nodes of `least` or more, until none is new."""
+        expanded = np.zeros(seen.shape, bool)
         while True:
-            r, node = np.nonzero((seen >= least - SLACK) & ~expanded)
-            if not len(r):
+            pairs = np.flatnonzero((seen >= least) & ~expanded)
+            if not len(pairs):
                 break
-            expanded[r, node] = True
-            count = start[node + 1] - start[node]
-            q = np.repeat(r, count)
-            to = ends[np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[node], count)]
-            new = seen[q, to] == -2
-            pair = np.unique(q[new] * n + to[new])
-            q, to = pair // n, pair % n
-            seen[q, to] = np.einsum("ij,ij->i", queries[q], self.x[to])
-        return seen >= least - 1e-4
+            expanded.reshape(-1)[pairs] = True
+            self._see(queries, seen, pairs)
+
+
+def _once(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each key once; `place` has room for all keys and any content."""
+    turn = np.arange(len(key), dtype=np.int32)
+    place[key] = turn
+    return key[place[key] == turn]
 
 
 def _build(table: pa.Table, effort: int) -> pa.Table:
@@ -227,9 +274,15 @@ def _search(table: pa.Table, effort: int) -> pa.Table:
     ids = np.unique(node)
     label, linked = np.arange(len(ids)), np.zeros(len(query), np.int64)
     index = np.searchsorted(ids, node)
+    ours = table.column("part")[0].as_py() == table.column("other")[0].as_py()  # the queries are the base nodes
     for a in range(0, len(query), 256):
         rows = query[a : a + 256]
-        found = x[rows] @ x[base].T >= LEAST - 1e-6 if effort == EXACT else graph.in_range(x[rows].astype(np.float32), LEAST)
+        if effort == EXACT:
+            found = x[rows] @ x[base].T >= LEAST - 1e-6
+        elif ours:
+            found = graph.around(np.array([place[int(v)] for v in node[rows]]), LEAST)
+        else:
+            found = graph.in_range(x[rows].astype(np.float32), LEAST)
         r, c = np.nonzero(found)
         same = node[rows[r]] == node[base[c]]
         exact = np.einsum("ij,ij->i", x[rows[r]], x[base[c]]) >= LEAST

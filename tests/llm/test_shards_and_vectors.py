@@ -181,6 +181,20 @@ def test_graph_search_finds_what_brute_force_does():
     assert (found & true).sum() >= 0.99 * true.sum()
 
 
+def test_nodes_search_their_own_part_from_where_they_stand(spark, monkeypatch):
+    x = vectors.unit(np.array(crowd(5, 40, 30, 0.2, 32) + crowd(7, 1, 300, 0.2, 32) + crowd(8, 300, 1, 0.2, 32)))
+    graph = vectors.Graph(x).build()
+    true = x @ x.T >= vectors.LEAST
+    found = np.vstack([graph.around(np.arange(a, min(a + 256, len(x))), vectors.LEAST) for a in range(0, len(x), 256)])
+    assert (found & true).sum() >= 0.999 * true.sum() and not (found & (x @ x.T < vectors.LEAST - 1e-3)).any()
+    calls = []
+    monkeypatch.setattr(vectors.Graph, "search", lambda self, q: calls.append(len(q)))
+    graph.around(np.arange(len(x)), vectors.LEAST)
+    assert calls == []  # the beam search from the medoid, which took most of the time, is not repeated
+    small = vectors.Graph(x[:1]).build()
+    assert small.around(np.array([0]), vectors.LEAST).tolist() == [[True]]
+
+
 def test_embedding_query(spark):
     out = QUERIES["op6_embedding_dedup"](spark, "/root/testdata/sf0.01").toPandas()
     t = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
